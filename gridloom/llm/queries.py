@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import map_tags
+from gridloom.llm import map_tags, texts
 
-QUERIES = {**map_tags.QUERIES}
-ORACLES = {**map_tags.ORACLES}
+QUERIES = {**map_tags.QUERIES, **texts.QUERIES}
+ORACLES = {**map_tags.ORACLES, **texts.ORACLES}
