@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.leakage import find_leaks
 from gridloom.llm.packing import pack_texts
+from gridloom.llm.truncation import find_truncated, truncation_by_source
 from gridloom.tables import table
 
 
@@ -19,5 +20,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p6_pack": p6_pack, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(table(spark, sf_dir, "documents")).where("cut is not null").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many and what share of each source's documents are cut off."""
+    return truncation_by_source(find_truncated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found, "p8_sources": p8_sources}
 ORACLES: dict[str, str] = {}
