@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import data_care
+from gridloom.plans import data_care, map_queries
 
-FLAGSHIP = "p5_found"
-QUERIES = {**data_care.QUERIES}
-ORACLES = {**data_care.ORACLES}
+FLAGSHIP = "tile_diff"
+QUERIES = {**map_queries.QUERIES, **data_care.QUERIES}
+ORACLES = {**map_queries.ORACLES, **data_care.ORACLES}
