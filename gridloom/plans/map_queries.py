@@ -475,7 +475,7 @@ def way_assemble(spark, d):
 
 @query("way_absolute_nodes", "raw", """, b as (select map_id, si, x, y, zi, ord, unnest(blocks) segs, generate_subscripts(blocks, 1) - 1 b from raw where kind = 'way' and not encoding),
  s as (select * exclude segs, unnest(segs) ns, generate_subscripts(segs, 1) - 1 s from b), n as (select * exclude ns, unnest(ns) nd, generate_subscripts(ns, 1) - 1 i from s)
- select map_id, si, x, y, zi, ord, b::int b, s::int s, i::int i, sum(nd[1]) over w::bigint lat, sum(nd[2]) over w::bigint lon from n window w as (partition by map_id, si, x, y, zi, ord, b, s order by i)""".replace("over w::bigint", "over w"))
+ select map_id, si, x, y, zi, ord, b::int b, s::int s, i::int i, cast(sum(nd[1]) over w as bigint) lat, cast(sum(nd[2]) over w as bigint) lon from n window w as (partition by map_id, si, x, y, zi, ord, b, s order by i)""")
 def way_absolute_nodes(spark, d):
     n = _nodes(spark, d).where("not double_delta").drop("double_delta")
     return FE.absolute_nodes(n).drop("dlat", "dlon")
