@@ -53,7 +53,7 @@ def length_measures(text: Column) -> dict[str, Column]:
         "html_apos": chars + html + 4 * apos,
         "html_utf8": utf8 + html,
         "json": chars + json,
-        "json_ascii": chars + json + 5 * wide + 5 * astral,
+        "json_ascii": chars + json + 5 * wide + 6 * astral,
         "json_utf8": utf8 + json,
         "crlf": chars + bare_newlines,
         "crlf_utf8": utf8 + bare_newlines,
