@@ -33,34 +33,56 @@ SLACK = {"utf8": 3, "html_utf8": 3, "json_utf8": 3, "crlf_utf8": 3}
 
 
 def _count(text: Column, *parts: str) -> Column:
-    """How many of the given single characters the text holds."""
-    return F.length(text) - F.length(F.translate(text, "".join(parts), ""))
+    """How many of the given single ASCII characters the text holds."""
+    each = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(p), F.lit(""))) for p in parts]
+    return sum(each[1:], each[0])
 
 
-def length_measures(text: Column) -> dict[str, Column]:
-    chars, utf8 = F.length(text), F.octet_length(text)
-    amp, angle, quote, apos = _count(text, "&"), _count(text, "<", ">"), _count(text, '"'), _count(text, "'")
-    html = 4 * amp + 3 * angle + 5 * quote
-    json = _count(text, '"', "\\", "\n", "\r", "\t")
-    bare_newlines = _count(text, "\n") - (chars - F.length(F.regexp_replace(text, "\r\n", "\n")))
-    wide = chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7F]", ""))
-    astral = chars - F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", ""))
+def character_counts(text: Column) -> dict[str, Column]:
+    """What the measures are sums of. The two costly counts run only over texts that need them."""
+    chars, utf8, returns = F.length(text), F.octet_length(text), _count(text, "\r")
+    without = lambda pattern, by="": F.length(F.regexp_replace(text, pattern, by))
+    zero = F.lit(0)
+    return {
+        "c_chars": chars,
+        "c_utf8": utf8,
+        "c_amp": _count(text, "&"),
+        "c_angle": _count(text, "<", ">"),
+        "c_quote": _count(text, '"'),
+        "c_apos": _count(text, "'"),
+        "c_newline": _count(text, "\n"),
+        "c_control": _count(text, "\\", "\t") + returns,
+        "c_crlf": F.when(returns == 0, zero).otherwise(chars - without("\r\n", "\n")),
+        "c_wide": F.when(utf8 == chars, zero).otherwise(chars - without("[^\\x00-\\x7F]")),
+        "c_astral": F.when(utf8 == chars, zero).otherwise(chars - without("[\\x{10000}-\\x{10FFFF}]")),
+    }
+
+
+def measures_of(c: dict[str, Column]) -> dict[str, Column]:
+    html = 4 * c["c_amp"] + 3 * c["c_angle"] + 5 * c["c_quote"]
+    bare_newlines = c["c_newline"] - c["c_crlf"]
+    json = c["c_quote"] + c["c_newline"] + c["c_control"]
+    chars, utf8 = c["c_chars"], c["c_utf8"]
     return {
         "chars": chars,
         "utf8": utf8,
-        "utf16": chars + astral,
+        "utf16": chars + c["c_astral"],
         "html": chars + html,
-        "html_apos": chars + html + 4 * apos,
+        "html_apos": chars + html + 4 * c["c_apos"],
         "html_utf8": utf8 + html,
         "json": chars + json,
-        "json_ascii": chars + json + 5 * wide + 6 * astral,
+        "json_ascii": chars + json + 5 * c["c_wide"] + 6 * c["c_astral"],
         "json_utf8": utf8 + json,
         "crlf": chars + bare_newlines,
         "crlf_utf8": utf8 + bare_newlines,
-        "lf": F.length(F.regexp_replace(text, "\r\n", "\n")),
+        "lf": chars - c["c_crlf"],
     }
 
 
+def length_measures(text: Column) -> dict[str, Column]:
+    return measures_of(character_counts(text))
+
+
 def length_limits(docs: DataFrame, text: str, source: str, least: int = 8, times: float = 10.0, shortest: int = 64) -> DataFrame:
     """source, measure, value, n, excess: lengths at which texts pile up.
 
@@ -68,9 +90,11 @@ def length_limits(docs: DataFrame, text: str, source: str, least: int = 8, times
     one). Below ``shortest`` a pile is one short answer given by many. Per source only the measure with the tallest pile is kept: under any other one the same
     texts are spread out.
     """
-    measures = length_measures(F.col(text))
+    # counted once per text; the measures are sums of these columns
+    counted = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), *(c.alias(k) for k, c in character_counts(F.col(text)).items()))
+    measures = measures_of({k: F.col(k) for k in counted.columns})
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("rank"), c.cast("int").alias("value")) for i, (m, c) in enumerate(measures.items()))))
-    counts = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), each.alias("m")).groupBy("source", "m.measure", "m.rank", "m.value").agg(F.count("*").alias("n"))
+    counts = counted.select("source", each.alias("m")).groupBy("source", "m.measure", "m.rank", "m.value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source", "measure").orderBy("value")
     near, wide = (F.coalesce(F.sum("n").over(w.rangeBetween(-k, k)), F.lit(0)) for k in (4, 30))
     around = (wide - near) / 52.0
@@ -83,8 +107,9 @@ def length_limits(docs: DataFrame, text: str, source: str, least: int = 8, times
 # -- 2: ways to end ------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"([^\W_]+)([^\w]*)")
+_WORDS = re.compile(r"([^\W_]+)([.!?]?)")
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|blockquote|div|li|ul)(?:\s[^<>]*)?>|\r?\n|\[/?quote[^\[\]]*\]", re.I)
-_CLOSERS = re.compile(r"(?:\s|</?(?:p|br|blockquote|div|li|ul|b|i|em|strong)\s*/?>|\[/(?:quote|b|i|u|url|code|list)\])+$", re.I)
+_CLOSER = re.compile(r"(?:</?(?:p|br|blockquote|div|li|ul|b|i|em|strong)\s*/?>|\[/(?:quote|b|i|u|url|code|list)\])$", re.I)
 _LINK = re.compile(r"\b(?:https?|ftp)://\S*", re.I)
 _DIGITS = re.compile(r"\d+")
 _DELIMITER = re.compile(r"^(?:--|—|_{3,}|={3,}|\*{3,})")
@@ -108,7 +133,12 @@ CLOSINGS = frozenset(
 
 def trimmed(text: str) -> str:
     """The text without white space and closing tags at its end."""
-    return _CLOSERS.sub("", text)
+    while True:
+        text = text.rstrip()
+        m = _CLOSER.search(text[-24:]) if text[-1:] in ">]" else None
+        if not text or not m:
+            return text
+        text = text[: -len(m[0])]
 
 
 def _lines(text: str, most: int = 4) -> list[str]:
@@ -146,13 +176,13 @@ def _statistics(at_limit):
             for s, t, m in zip(source, text, measured):
                 if not t:
                     continue
-                for x in _TOKEN.finditer(t):
-                    if x.end() < len(t):
-                        w = x[1].lower()
-                        seen["w"][w] += 1
-                        seen["n"]["words"] += 1
-                        if x[2][:1] in ".!?":
-                            seen["f"][w] += 1
+                low = t.lower()
+                ws = _WORDS.findall(low)
+                if ws and low.endswith(ws[-1][0]) and not ws[-1][1]:
+                    ws.pop()  # the text may have been cut in it
+                seen["w"].update([w for w, _ in ws])
+                seen["n"]["words"] += len(ws)
+                seen["f"].update([w for w, stop in ws if stop])
                 if not at_limit(s, m):
                     for x in _LINK.finditer(t):
                         seen["k"][_link_shape(x[0].split("<")[0])] += 1
