@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import data_care, map_queries
+from gridloom.plans import data_care, map_queries, stream_queries
 
 FLAGSHIP = "tile_diff"
-QUERIES = {**map_queries.QUERIES, **data_care.QUERIES}
-ORACLES = {**map_queries.ORACLES, **data_care.ORACLES}
+QUERIES = {**map_queries.QUERIES, **data_care.QUERIES, **stream_queries.QUERIES}
+ORACLES = {**map_queries.ORACLES, **data_care.ORACLES, **stream_queries.ORACLES}
