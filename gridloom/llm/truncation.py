@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -59,7 +60,7 @@ def character_counts(text: Column) -> dict[str, Column]:
 
 
 def measures_of(c: dict[str, Column]) -> dict[str, Column]:
-    html = 4 * c["c_amp"] + 3 * c["c_angle"] + 5 * c["c_quote"]
+    entities = 4 * c["c_amp"] + 3 * c["c_angle"] + 5 * c["c_quote"]
     bare_newlines = c["c_newline"] - c["c_crlf"]
     json = c["c_quote"] + c["c_newline"] + c["c_control"]
     chars, utf8 = c["c_chars"], c["c_utf8"]
@@ -67,9 +68,9 @@ def measures_of(c: dict[str, Column]) -> dict[str, Column]:
         "chars": chars,
         "utf8": utf8,
         "utf16": chars + c["c_astral"],
-        "html": chars + html,
-        "html_apos": chars + html + 4 * c["c_apos"],
-        "html_utf8": utf8 + html,
+        "html": chars + entities,
+        "html_apos": chars + entities + 4 * c["c_apos"],
+        "html_utf8": utf8 + entities,
         "json": chars + json,
         "json_ascii": chars + json + 5 * c["c_wide"] + 6 * c["c_astral"],
         "json_utf8": utf8 + json,
@@ -110,6 +111,7 @@ _TOKEN = re.compile(r"([^\W_]+)([^\w]*)")
 _WORDS = re.compile(r"([^\W_]+)([.!?]?)")
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|blockquote|div|li|ul)(?:\s[^<>]*)?>|\r?\n|\[/?quote[^\[\]]*\]", re.I)
 _CLOSER = re.compile(r"(?:</?(?:p|br|blockquote|div|li|ul|b|i|em|strong)\s*/?>|\[/(?:quote|b|i|u|url|code|list)\])$", re.I)
+_INLINE = re.compile(r"</?(?:b|i|em|strong|u)>|\[/?[biu]\]|\*\*|__|`", re.I)
 _LINK = re.compile(r"\b(?:https?|ftp)://\S*", re.I)
 _DIGITS = re.compile(r"\d+")
 _DELIMITER = re.compile(r"^(?:--|—|_{3,}|={3,}|\*{3,})")
@@ -147,12 +149,15 @@ def _lines(text: str, most: int = 4) -> list[str]:
 
 
 def _line_key(line: str) -> str:
-    return _DIGITS.sub("#", line.lower())
+    """A line without inline markup, entities, case and the values of numbers."""
+    if "&" in line:
+        line = html.unescape(line)
+    return _DIGITS.sub("#", _INLINE.sub("", line).lower())
 
 
 def _link_shape(link: str) -> str:
-    """Letters become ``a``, digits ``9`` each: links of one site look alike, cut ones do not."""
-    return re.sub(r"\d", "9", re.sub(r"[^\W\d_]+(?:[-_][^\W\d_]+)*", "a", link.rstrip(".,;:!?)")))
+    """Letters become ``a``, numbers ``9``: links of one site look alike, cut ones do not."""
+    return re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+(?:[-_][^\W\d_]+)*", "a", link.rstrip(".,;:!?)")))
 
 
 def _statistics(at_limit):
