@@ -70,9 +70,12 @@ def _ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, left, right chunk: every pair of the product; of a chunk with itself the upper triangle."""
+    """kind, left, right chunk, first: every pair of the product; of a chunk with itself the upper triangle.
+
+    ``first`` marks one chunk pair of each basket; it also counts the basket.
+    """
     for rb in batches:
-        for kind, x, y in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2)):
+        for kind, x, y, first in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2), rb.column(3).to_pylist()):
             left, right = x.values.to_numpy(), y.values.to_numpy()
             if left[0] == right[0]:
                 i, j = np.triu_indices(left.size)
@@ -80,27 +83,32 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 a, b = np.repeat(left, right.size), np.tile(right, left.size)
             yield _batch(kind, a, b, np.ones(a.size, np.int64))
+            if first:
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.string()), none, none, pa.array([1], pa.int64())], names=["kind", "a", "b", "n"])
 
 
-def pair_counts(baskets: DataFrame, ordinary: int = ORDINARY, chunk: int = CHUNK) -> DataFrame:
+def pair_counts(baskets: DataFrame, ordinary: int = ORDINARY, chunk: int = CHUNK, largest: int | None = None) -> DataFrame:
     """kind, a, b, n over all baskets (kind string, ids array<bigint>, one row per basket).
 
     a < b: baskets that hold both; a = b: baskets that hold the item; both null: baskets of the kind,
     empty ones included. An item counts once per basket; null arrays are empty baskets and null items
     no items; equal baskets each count; an empty input gives no rows; other columns are ignored.
-    No pair is left out, whatever the size of a basket.
+    No pair is left out, whatever the size of a basket. ``largest``, where the caller knows it, is a
+    bound on the size of all baskets; if it shows that none is huge, the baskets are read once only.
     """
     items = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("ids", F.array().cast("array<bigint>")))))
     clean = baskets.select("kind", items.alias("ids"))
     plain = clean.where(F.size("ids") <= ordinary).mapInArrow(_ordinary, _PAIR)
-    huge = clean.where(F.size("ids") > ordinary)
-    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(chunk))
-    chunks = F.transform(starts, lambda s: F.slice("ids", s, F.lit(chunk)))
-    left = huge.select("kind", chunks.alias("chunks")).select("kind", "chunks", F.posexplode("chunks").alias("i", "x"))
-    crossed = left.select("kind", "x", F.explode(F.slice("chunks", F.col("i") + 1, F.size("chunks"))).alias("y"))
-    products = crossed.repartition(F.xxhash64("kind", F.element_at("x", 1), F.element_at("y", 1), F.element_at("x", -1))).mapInArrow(_products, _PAIR)
-    huge_baskets = huge.groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), "n")
-    counts = plain.unionByName(products).unionByName(huge_baskets)
+    counts = plain
+    if largest is None or largest > ordinary:
+        huge = clean.where(F.size("ids") > ordinary)
+        starts = F.sequence(F.lit(1), F.size("ids"), F.lit(chunk))
+        chunks = F.transform(starts, lambda s: F.slice("ids", s, F.lit(chunk)))
+        left = huge.select("kind", chunks.alias("chunks")).select("kind", "chunks", F.posexplode("chunks").alias("i", "x"))
+        crossed = left.select("kind", "x", "i", F.posexplode(F.slice("chunks", F.col("i") + 1, F.size("chunks"))).alias("j", "y"))
+        dealt = crossed.select("kind", "x", "y", ((F.col("i") == 0) & (F.col("j") == 0)).alias("first")).repartition(F.xxhash64("kind", F.element_at("x", 1), F.element_at("y", 1), F.element_at("x", -1)))
+        counts = plain.unionByName(dealt.mapInArrow(_products, _PAIR))
     return counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
