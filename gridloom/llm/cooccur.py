@@ -89,10 +89,10 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pair_counts(baskets: DataFrame, ordinary: int = ORDINARY, chunk: int = CHUNK, largest: int | None = None) -> DataFrame:
-    """kind, a, b, n over all baskets (kind string, ids array<bigint>, one row per basket).
+    """kind, a, b, n, what over all baskets (kind string, ids array<bigint>, one row per basket).
 
-    a < b: baskets that hold both; a = b: baskets that hold the item; both null: baskets of the kind,
-    empty ones included. An item counts once per basket; null arrays are empty baskets and null items
+    a < b (what 2): baskets that hold both; a = b (what 1): baskets that hold the item; a 0, b -1
+    (what 0): baskets of the kind, empty ones included. A null kind is the kind ''. An item counts once per basket; null arrays are empty baskets and null items
     no items; equal baskets each count; an empty input gives no rows; other columns are ignored.
     No pair is left out, whatever the size of a basket. ``largest``, where the caller knows it, is a
     bound on the size of all baskets; if it shows that none is huge, the baskets are read once only.
@@ -109,7 +109,11 @@ def pair_counts(baskets: DataFrame, ordinary: int = ORDINARY, chunk: int = CHUNK
         crossed = left.select("kind", "x", "i", F.posexplode(F.slice("chunks", F.col("i") + 1, F.size("chunks"))).alias("j", "y"))
         dealt = crossed.select("kind", "x", "y", ((F.col("i") == 0) & (F.col("j") == 0)).alias("first")).repartition(F.xxhash64("kind", F.element_at("x", 1), F.element_at("y", 1), F.element_at("x", -1)))
         counts = plain.unionByName(dealt.mapInArrow(_products, _PAIR))
-    return counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # Keys that cannot be null and ``what`` as an aggregate keep every filter of the readers above the
+    # shuffle, so that they all share one and the baskets are read once.
+    keys = [F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b")]
+    what = F.when(F.col("a") > F.col("b"), 0).when(F.col("a") == F.col("b"), 1).otherwise(2)
+    return counts.select(*keys, "n").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.max(what).alias("what"))
 
 
 def associations(counts: DataFrame, least: int = 1, per_mille: int = 0) -> DataFrame:
@@ -117,10 +121,10 @@ def associations(counts: DataFrame, least: int = 1, per_mille: int = 0) -> DataF
 
     lift = n_ab n / (n_a n_b): how much more often than chance the two appear together.
     """
-    pairs = counts.where((F.col("a") < F.col("b")) & (F.col("n") >= least)).select("kind", "a", "b", F.col("n").alias("n_ab"))
-    totals = counts.where("a is null").select(F.col("kind").alias("__k"), F.col("n").alias("__n"))  # a row per kind
+    pairs = counts.where((F.col("what") == 2) & (F.col("n") >= least)).select("kind", "a", "b", F.col("n").alias("n_ab"))
+    totals = counts.where("what = 0").select(F.col("kind").alias("__k"), F.col("n").alias("__n"))  # a row per kind
     pairs = pairs.join(totals, F.col("kind") == F.col("__k")).where(1000 * F.col("n_ab") >= per_mille * F.col("__n"))
-    single = counts.where("a = b")
+    single = counts.where("what = 1")
     for side in "ab":
         one = single.select(F.col("kind").alias("__k2"), F.col("a").alias("__i"), F.col("n").alias(f"n_{side}"))
         pairs = pairs.join(one, (F.col("kind") == F.col("__k2")) & (F.col(side) == F.col("__i"))).drop("__k2", "__i")
