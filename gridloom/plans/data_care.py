@@ -56,12 +56,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tile_parts(df: DataFrame) -> DataFrame:
-    """Per current tile one row for the tile itself (zi -1, its water flag) and one per zoom row."""
+    """Per current tile one row for the tile itself (zi -1, its water flag) and one per zoom row.
+
+    A zoom row is 128 bits of the SHA-256 of its canonical text: only rows of one key are compared.
+    """
     zooms = F.array_distinct(F.concat(F.transform("__p", lambda e: e["zi_index"]), F.transform("__w", lambda e: e["zi_index"])))
 
     def part(z: Column) -> Column:
         mine = [F.to_json(F.filter(F.col(c), lambda e: e["zi_index"].eqNullSafe(z))) for c in ("__p", "__w")]
-        return F.struct(z.alias("zi"), F.sha2(F.concat_ws("|", *mine).cast("binary"), 256).alias("value"))
+        return F.struct(z.alias("zi"), F.substring(F.unhex(F.sha2(F.concat_ws("|", *mine).cast("binary"), 256)), 1, 16).alias("value"))
 
     slim = df.select(
         *TILE_KEY,
@@ -72,7 +75,7 @@ def _tile_parts(df: DataFrame) -> DataFrame:
     )
     parted = slim.select(*TILE_KEY, "delivered_at", "water", F.transform(zooms, part).alias("parts"))
     now = current_rows(parted, TILE_KEY, "delivered_at", ["water", F.to_json("parts")])
-    tile = F.array(F.struct(F.lit(-1).alias("zi"), F.col("water").alias("value")))
+    tile = F.array(F.struct(F.lit(-1).alias("zi"), F.col("water").cast("binary").alias("value")))
     return now.select(*TILE_KEY, F.explode(F.concat(tile, "parts")).alias("part")).select(*TILE_KEY, "part.zi", "part.value")
 
 
