@@ -61,15 +61,16 @@ class LastSeenCounters:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, ids -> kind, id, n_occ, n_rec; id null carries the number of records of the kind."""
+    """kind, ids -> kind, id, n_occ, n_rec, n_all; n_all, the number of records of the kind, is on id 0."""
     counters: dict[str, LastSeenCounters] = {}
     records: dict[str, int] = {}
+    columns = ["kind", "id", "n_occ", "n_rec", "n_all"]
     at = 0
 
     def ship(kind: str) -> pa.RecordBatch:
         t, o, n, _, _ = counters.pop(kind).combine()
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * t.size, pa.string()), pa.array(t), pa.array(o), pa.array(n)], names=["kind", "id", "n_occ", "n_rec"]
+            [pa.array([kind] * t.size, pa.string()), pa.array(t), pa.array(o), pa.array(n), pa.array(np.zeros(t.size, np.int64))], names=columns
         )
 
     for b in batches:
@@ -93,28 +94,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind in list(counters):
         yield ship(kind)
     if records:
-        totals = list(records.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(records), pa.string()), pa.nulls(len(records), pa.int64()), pa.array(totals), pa.array(totals)], names=["kind", "id", "n_occ", "n_rec"]
-        )
+        none = pa.array([0] * len(records), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(records), pa.string()), none, none, none, pa.array(list(records.values()))], names=columns)
 
 
 def term_frequencies(features: DataFrame) -> DataFrame:
-    """kind, id, n_occ, n_rec over all records (kind string, ids array<bigint>, one row per record).
+    """kind, id, n_occ, n_rec, n_all over all records (kind string, ids array<bigint>, one row per record).
 
-    The row with a null id holds the number of records of the kind, those without terms included.
-    A null array or null ids count for nothing; a term repeated in a record counts once in n_rec and
-    each time in n_occ; equal records each count; an empty input gives no rows. Columns besides kind
-    and ids are ignored.
+    n_all is 0 but on the row of id 0, where it holds the number of records of the kind, those without
+    terms included. A null array or null ids count for nothing; a term repeated in a record counts
+    once in n_rec and each time in n_occ; equal records each count; a null kind is the kind ''; an
+    empty input gives no rows. Columns besides kind and ids are ignored.
     """
-    partial = features.select("kind", "ids").mapInArrow(_count, "kind string, id bigint, n_occ bigint, n_rec bigint")
-    return partial.groupBy("kind", "id").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_rec").alias("n_rec"))
+    partial = features.select("kind", "ids").mapInArrow(_count, "kind string, id bigint, n_occ bigint, n_rec bigint, n_all bigint")
+    keys = [F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("id", F.lit(0)).alias("id")]
+    sums = ("n_occ", "n_rec", "n_all")
+    return partial.select(*keys, *sums).groupBy("kind", "id").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def dictionary_frequencies(terms: DataFrame, counts: DataFrame) -> DataFrame:
     """kind, term, n_occ, n_rec and n (records of the kind) for every term listed, unused ones with 0."""
-    totals = counts.where("id is null").select(F.col("kind").alias("__k"), F.col("n_rec").alias("__n"))  # a row per kind
-    used = counts.where("id is not null").select(F.col("kind").alias("__kind"), F.col("id").alias("__id"), "n_occ", "n_rec")
+    # both readers name all sums and filter on sums only, so they share one shuffle and one pass
+    totals = counts.where("n_all > 0 and n_occ >= 0 and n_rec >= 0").select(F.col("kind").alias("__k"), F.col("n_all").alias("__n"))  # a row per kind
+    used = counts.where("n_occ > 0 and n_all >= 0").select(F.col("kind").alias("__kind"), F.col("id").alias("__id"), "n_occ", "n_rec")
     return (
         terms.join(used, (F.col("kind") == F.col("__kind")) & (F.col("id") == F.col("__id")), "left")
         .join(totals, F.col("kind") == F.col("__k"), "left")

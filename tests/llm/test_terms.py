@@ -37,9 +37,13 @@ def test_term_frequencies(spark):
         n[kind] += 1
         occ.update((kind, i) for i in ids or () if i is not None)
         rec.update((kind, i) for i in set(ids or ()) if i is not None)
-    got = {(r.kind, r.id): (r.n_occ, r.n_rec) for r in term_frequencies(spark.createDataFrame(rows, DDL).repartition(3)).collect()}
-    want = {k: (occ[k], rec[k]) for k in occ} | {(k, None): (c, c) for k, c in n.items()}
-    assert got == want
+    rows = rows + [("poi", [0, 0], 1, "x")]  # id 0 is an id like any other
+    occ["poi", 0] += 2
+    rec["poi", 0] += 1
+    n["poi"] += 1
+    found = term_frequencies(spark.createDataFrame(rows, DDL).repartition(3)).collect()
+    assert {(r.kind, r.id): (r.n_occ, r.n_rec) for r in found if r.n_occ} == {k: (occ[k], rec[k]) for k in occ}
+    assert {r.kind: r.n_all for r in found if r.n_all} == n
     assert term_frequencies(spark.createDataFrame([], DDL)).count() == 0
 
 
@@ -63,7 +67,7 @@ def test_pair_counts(spark, ordinary, chunk):
     for kind, ids, *_ in rows:
         items = sorted({i for i in ids or () if i is not None})
         want.update([(kind, None, None)] + [(kind, i, i) for i in items] + [(kind, a, b) for a, b in combinations(items, 2)])
-    got = {(r.kind, r.a, r.b): r.n for r in pair_counts(spark.createDataFrame(rows, DDL).repartition(3), ordinary, chunk).collect()}
+    got = {(r.kind, r.a if r.what else None, r.b if r.what else None): r.n for r in pair_counts(spark.createDataFrame(rows, DDL).repartition(3), ordinary, chunk).collect()}
     assert got == want
     assert pair_counts(spark.createDataFrame([], DDL)).count() == 0
 
