@@ -66,7 +66,7 @@ def main(argv: list[str]) -> int:
         else:
             verbs.apply(spark, i[0], i[1:], a.output, a.force)
         if a.semantic:
-            print("SEMANTIC_HASH:", verbs.semantic_hash(spark, i[1] if a.verb == "delta" else a.output))
+            print(f"SEMANTIC_HASH: {verbs.file_digest(spark, i[1] if a.verb == 'delta' else a.output)}")
     elif a.verb == "crop":
         if a.estimate_size:
             print(verbs.estimate_size(spark, i[0], a.bbox, a.center, a.distance)["bytes"])
@@ -86,7 +86,7 @@ def main(argv: list[str]) -> int:
     elif a.verb == "tags":
         verbs.tags(spark, i).show(1000, truncate=False)
     elif a.verb == "hash":
-        print(verbs.semantic_hash(spark, i[0], a.ignore_comment, a.ignore_timestamp))
+        print(verbs.file_digest(spark, i[0], a.ignore_comment, a.ignore_timestamp))
     elif a.verb == "edit":
         verbs.edit(spark, i[0], a.output, a.comment, a.timestamp, a.force)
     return 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schemas
 from gridloom.codec import dump as text
+from gridloom.codec import fingerprint
 from gridloom.codec.binary import FormatError
 from gridloom.codec.header import grid_of
 from gridloom.codec.patch import EMPTY, WATER, decode, encode, read_patch_file, write_patch_file
@@ -187,6 +188,36 @@ def semantic_hash(spark: SparkSession, path: str, ignore_comment: bool = False,
     return hashlib.sha256(repr((fields, whole.digest if whole else "")).encode()).hexdigest()
 
 
+def file_digest(spark: SparkSession, path: str, ignore_comment: bool = False, ignore_timestamp: bool = False) -> str:
+    """The published digest of a file (see codec/fingerprint.py). Maps with debug signatures have none.
+
+    Tasks reduce each tile to two sums per zoom row; the driver folds these in (si, x, y) order.
+    """
+    import hashlib
+    import struct
+
+    h = load_header(path)
+    if h["has_debug"]:
+        raise ValueError("maps with debug signatures have no digest")
+    zooms = {z["si"]: z["max"] - z["min"] + 1 for z in h["zoom_intervals"]}
+    names = h["poi_tags"], h["way_tags"]
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags = [fingerprint.TagHashes(n) for n in names]
+        for b in batches:
+            rows = []
+            for si, x, y, water, body in zip(*(c.to_pylist() for c in b.columns)):
+                sums = fingerprint.zoom_sums(*read_tile(body, x, y, zooms[si], light=True), *tags) if body else b""
+                rows.append(struct.pack("<IIIB", si, x, y, bool(water)) + sums)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, pa.binary())], names=["si", "x", "y", "part"])
+
+    parts = read_part(spark, path, "tile_raw").select("si", "x", "y", "is_water", "bytes").mapInArrow(reduce, "si int, x int, y int, part binary")
+    sha = hashlib.sha256(fingerprint.header_bytes(h, ignore_comment, ignore_timestamp))
+    for r in parts.orderBy("si", "x", "y").select("part").toLocalIterator(prefetchPartitions=True):
+        sha.update(r.part)
+    return sha.hexdigest()
+
+
 def validate(spark: SparkSession, path: str) -> DataFrame:
     """One row per violation; header and index rules are found on the driver, tile rules by the tasks."""
     rows, checked = [], []
