@@ -36,9 +36,18 @@ def subfiles_with_data(tiles: DataFrame) -> DataFrame:
 
 
 def covered_by(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """Tiles that lie in the grid of any map of the same interval (a range semi-join)."""
-    g = grid.select(F.col("si").alias("__si"), "x0", "y0", "x1", "y1")
-    return tiles.join(g, (F.col("si") == F.col("__si")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")), "left_semi")
+    """Tiles that lie in the grid of any map of the same interval.
+
+    Grids are cut into columns of tiles and the overlapping ranges of a column are merged, so the
+    semi-join is keyed by (si, x) and its work grows with the widths of the grids, not with
+    tiles x maps.
+    """
+    g = grid.where("x0 <= x1 and y0 <= y1").select(F.col("si").alias("__si"), F.explode(F.sequence("x0", "x1")).alias("__x"), "y0", "y1").distinct()
+    column = Window.partitionBy("__si", "__x").orderBy("y0", "y1")
+    reached = F.max("y1").over(column.rowsBetween(Window.unboundedPreceding, -1))
+    g = g.withColumn("opens", F.when(F.col("y0") > reached + 1, 1).otherwise(0)).withColumn("range", F.sum("opens").over(column))
+    g = g.groupBy("__si", "__x", "range").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return tiles.join(g, (F.col("si") == F.col("__si")) & (F.col("x") == F.col("__x")) & F.col("y").between(F.col("y0"), F.col("y1")), "left_semi")
 
 
 def in_grid(tiles: DataFrame, grid: DataFrame) -> DataFrame:

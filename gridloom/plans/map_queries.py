@@ -226,7 +226,7 @@ def subfile_containing(spark, d):
 @query("tiles_covered_by_inputs", "t gr", """select distinct t.si, t.x, t.y from t where exists (select 1 from gr join zi on gr.map_id = zi.map_id and gr.si = zi.si
  where gr.si = t.si and gr.has_debug and t.x between gr.x0 and gr.x1 and t.y between gr.y0 and gr.y1)""")
 def tiles_covered_by_inputs(spark, d):
-    grid = HE.grids(R.headers(spark, d).where("has_debug")).select("si", "x0", "y0", "x1", "y1").distinct()
+    grid = HE.grids(R.headers(spark, d)).select("si", "x0", "y0", "x1", "y1").distinct()
     return tiles.covered_by(_delivered(spark, d).select("si", "x", "y").distinct(), grid)
 
 
