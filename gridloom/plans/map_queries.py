@@ -239,8 +239,8 @@ def single_tile(spark, d):
  from (select *, unnest(generate_series(x0, x1)) x from gr where si = 0)) select g.map_id, g.si, g.x, g.y, coalesce(w.is_water, false) is_water, w.map_id is not null has_tile
  from g left join w on g.map_id = w.map_id and g.si = w.si and g.x = w.x and g.y = w.y""")
 def grid_left_fill(spark, d):
-    g = HE.grid_tiles(HE.grids(R.headers(spark, d)).where("si = 0"))
-    w = _delivered(spark, d).where("si = 0").groupBy("map_id", "si", "x", "y").agg(F.bool_and("is_water").alias("is_water"), F.lit(True).alias("has_tile"))
+    g = HE.grid_tiles(HE.grids(R.headers(spark, d)))
+    w = _delivered(spark, d).groupBy("map_id", "si", "x", "y").agg(F.bool_and("is_water").alias("is_water"), F.lit(True).alias("has_tile"))
     no = F.lit(False)
     return g.join(w, ["map_id", "si", "x", "y"], "left").select("map_id", "si", "x", "y", F.coalesce("is_water", no).alias("is_water"), F.coalesce("has_tile", no).alias("has_tile"))
 

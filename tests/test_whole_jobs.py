@@ -24,6 +24,12 @@ def test_tiles_are_covered_by_the_grids_of_all_maps(spark):
     same_rows(spark, "tiles_covered_by_inputs", "t gr", "select distinct t.si, t.x, t.y from t join gr on gr.si = t.si and t.x between gr.x0 and gr.x1 and t.y between gr.y0 and gr.y1")
 
 
+def test_all_intervals_are_filled(spark):
+    grid = "select map_id, si, x, unnest(generate_series(y0, y1)) y from (select *, unnest(generate_series(x0, x1)) x from gr)"
+    water = "select map_id, si, x, y, bool_and(is_water) is_water from t group by all"
+    same_rows(spark, "grid_left_fill", "gr t", f"select g.*, coalesce(w.is_water, false) is_water, w.map_id is not null has_tile from ({grid}) g left join ({water}) w using (map_id, si, x, y)")
+
+
 def test_covered_by_merges_ranges(spark):
     boxes = [(0, 1, 1, 3, 2), (0, 2, 2, 2, 5), (0, 2, 8, 2, 9), (0, 2, 9, 2, 9), (0, 2, 7, 2, 7), (1, 4, 4, 4, 4), (0, 6, 1, 5, 9), (0, None, 1, 2, 2)]
     grid = spark.createDataFrame(boxes, "si int, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
