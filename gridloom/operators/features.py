@@ -82,9 +82,17 @@ def canonical_rank(features: DataFrame) -> DataFrame:
 
 
 def absolute_nodes(nodes: DataFrame) -> DataFrame:
-    """Running sums of single-delta nodes (column ``i`` is the node's place): positions relative to the tile."""
+    """Positions relative to the tile (column ``i`` is the node's place in its segment).
+
+    Single deltas are summed up once. With ``double_delta`` the nodes after the first hold changes of
+    the step, so their running sums are summed up again; without the flag (null) deltas are single.
+    """
     w = Window.partitionBy(*(c for c in nodes.columns if c not in ("i", "dlat", "dlon"))).orderBy("i")
-    return nodes.withColumn("lat", F.sum("dlat").over(w)).withColumn("lon", F.sum("dlon").over(w))
+    double = F.col("double_delta") & (F.col("i") > 0)
+    for c in ("lat", "lon"):
+        step = F.sum(F.when(double, F.col(f"d{c}"))).over(w)
+        nodes = nodes.withColumn(f"__{c}", F.when(double, step).otherwise(F.col(f"d{c}")))
+    return nodes.withColumn("lat", F.sum("__lat").over(w)).withColumn("lon", F.sum("__lon").over(w)).drop("__lat", "__lon")
 
 
 def delta_coded(tiles: DataFrame) -> DataFrame:

@@ -477,8 +477,7 @@ def way_assemble(spark, d):
  s as (select * exclude segs, unnest(segs) ns, generate_subscripts(segs, 1) - 1 s from b), n as (select * exclude ns, unnest(ns) nd, generate_subscripts(ns, 1) - 1 i from s)
  select map_id, si, x, y, zi, ord, b::int b, s::int s, i::int i, cast(sum(nd[1]) over w as bigint) lat, cast(sum(nd[2]) over w as bigint) lon from n window w as (partition by map_id, si, x, y, zi, ord, b, s order by i)""")
 def way_absolute_nodes(spark, d):
-    n = _nodes(spark, d).where("not double_delta").drop("double_delta")
-    return FE.absolute_nodes(n).drop("dlat", "dlon")
+    return FE.absolute_nodes(_nodes(spark, d)).drop("double_delta", "dlat", "dlon")
 
 
 @query("dump_lines", "f", """select map_id, kind, si, x, y, zi, ord, concat_ws(chr(10), case when kind = 'poi' then '[[tiles.pois]]' else '[[tiles.ways]]' end, 'zi_index = ' || zi, 'lat = ' || lat, 'lon = ' || lon, 'layer = ' || layer,

@@ -6,7 +6,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from parity import bag, views  # noqa: E402
 
-from gridloom.operators import tiles  # noqa: E402
+from gridloom.operators import features, tiles  # noqa: E402
 from gridloom.plans import map_queries as Q  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,33 @@ def test_covered_by_merges_ranges(spark):
     inside = {(si, x, y) for si, x, y in all_tiles for s, x0, y0, x1, y1 in boxes if x0 is not None and s == si and x0 <= x <= x1 and y0 <= y <= y1}
     got = [tuple(r) for r in tiles.covered_by(spark.createDataFrame(all_tiles, "si int, x int, y int"), grid).collect()]
     assert len(got) == len(set(got)) and set(got) == inside
+
+
+def decoded(nodes, double):
+    out, step = [], (0, 0)
+    for i, (a, b) in enumerate(nodes):
+        step = (step[0] + a, step[1] + b) if double and i > 1 else (a, b)
+        out.append((out[-1][0] + step[0], out[-1][1] + step[1]) if out else step)
+    return out
+
+
+def test_absolute_nodes_of_both_encodings(spark):
+    ways = {1: (True, [(5, -3), (10, 4), (2, 0), (-7, 1), (0, 0)]), 2: (False, [(5, -3), (10, 4), (2, 0)]), 3: (None, [(1, 1), (1, 1)]), 4: (True, [(9, 9)]), 5: (True, [(9, 9), (2**31 - 1, -(2**31)), (2**31 - 1, -1)])}
+    rows = [(k, d, i, *n) for k, (d, ns) in ways.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "ord int, double_delta boolean, i int, dlat int, dlon int")
+    got = {(r.ord, r.i): (r.lat, r.lon) for r in features.absolute_nodes(df).collect()}
+    assert got == {(k, i): p for k, (d, ns) in ways.items() for i, p in enumerate(decoded(ns, d))}
+    assert got[1, 4] == (5 + 10 + 12 + 5 + 5, -3 + 4 + 4 + 5 + 5)
+
+
+def test_absolute_nodes_of_all_ways(spark):
+    place = ["map_id", "si", "x", "y", "zi", "ord"]
+    want = {}
+    for w in Q._ways(spark, SF).collect():
+        for b, segments in enumerate(w.blocks or []):
+            for s, nodes in enumerate(segments or []):
+                for i, p in enumerate(decoded([tuple(n) for n in nodes or []], w.double_delta)):
+                    want[(*(w[c] for c in place), b, s, i)] = p
+    rows = Q.QUERIES["way_absolute_nodes"](spark, SF).collect()
+    got = {tuple(r[c] for c in (*place, "b", "s", "i")): (r.lat, r.lon) for r in rows}
+    assert want and len(rows) == len(got) and got == want
