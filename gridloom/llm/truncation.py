@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -155,30 +156,40 @@ def _line_key(line: str) -> str:
     return _DIGITS.sub("#", _INLINE.sub("", line).lower())
 
 
+def _standing_before(lines: list[str]) -> int:
+    """Hash of what the last line closes: the line before it and before a signature; one and the same for none."""
+    above = lines[:-1]
+    end = max((i for i, x in enumerate(above) if _DELIMITER.match(x)), default=len(above))
+    what = _line_key(above[end - 1]) if end else ""
+    return int.from_bytes(hashlib.blake2b(what.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _link_shape(link: str) -> str:
     """Letters become ``a``, numbers ``9``: links of one site look alike, cut ones do not."""
     return re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+(?:[-_][^\W\d_]+)*", "a", link.rstrip(".,;:!?)")))
 
 
 def _statistics(at_limit):
-    """kind w: words and how often they end a sentence; l: last lines; k: link shapes; n: texts, words."""
+    """kind w: words and how often they end a sentence; k: link shapes; n: words, links. Per context l: last lines; t: texts.
+
+    Copies of a post share the context, so they can't pass its cut-off end for a closing line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {"w": Counter(), "f": Counter(), "l": Counter(), "k": Counter(), "n": Counter()}
+        seen: dict[str, Counter] = {"w": Counter(), "f": Counter(), "l": Counter(), "k": Counter(), "n": Counter(), "t": Counter()}
 
         def ship() -> pa.RecordBatch:
-            keys = [(k, x) for k in "wlkn" for x in seen[k]]
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.string()), pa.array([seen[k][x] for k, x in keys], pa.int64()), pa.array([seen["f"][x] if k == "w" else 0 for k, x in keys], pa.int64())],
-                names=["kind", "key", "n", "n_final"],
-            )
+            rows = [(k, x, 0, n, seen["f"][x] if k == "w" else 0) for k in "wkn" for x, n in seen[k].items()]
+            rows += [(k, *x, n, 0) for k in "lt" for x, n in seen[k].items()]
+            columns = zip(*rows) if rows else [()] * 5
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "key", "context", "n", "n_final"])
             for c in seen.values():
                 c.clear()
             return batch
 
         for b in batches:
-            source, text, measured = (c.to_pylist() for c in b.columns)
-            for s, t, m in zip(source, text, measured):
+            for s, t, m, digest in zip(*(c.to_pylist() for c in b.columns)):
                 if not t:
                     continue
                 low = t.lower()
@@ -192,11 +203,11 @@ def _statistics(at_limit):
                     for x in _LINK.finditer(t):
                         seen["k"][_link_shape(x[0].split("<")[0])] += 1
                         seen["n"]["links"] += 1
-                    seen["n"]["texts"] += 1
-                    last = _lines(trimmed(t), 1)
-                    if last and len(last[0]) <= 60:
-                        seen["l"][_line_key(last[0])] += 1
-            if len(seen["w"]) + len(seen["l"]) > 500_000:
+                    seen["t"]["texts", digest] += 1
+                    last = _lines(trimmed(t), 6)
+                    if last and len(last[-1]) <= 60:
+                        seen["l"][_line_key(last[-1]), _standing_before(last)] += 1
+            if len(seen["w"]) + len(seen["l"]) + len(seen["t"]) > 500_000:
                 yield ship()
         yield ship()
 
@@ -317,10 +328,12 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
         limits.values.setdefault(r.source, set()).update(range(r.value - slack, r.value + 1))
     measured = slim.withColumn("measured", limits.of("text", "source"))
 
-    stats = measured.select("source", "text", "measured").mapInArrow(_statistics(limits), "kind string, key string, n bigint, n_final bigint")
-    stats = stats.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
+    stats = measured.select("source", "text", "measured", F.xxhash64("text")).mapInArrow(_statistics(limits), "kind string, key string, context bigint, n bigint, n_final bigint")
+    stats = stats.groupBy("kind", "key", "context").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
+    n = F.when(F.col("kind").isin("l", "t"), 1).otherwise(F.col("n"))  # last lines and texts count once per context
+    stats = stats.groupBy("kind", "key").agg(F.sum(n).alias("n"), F.sum("n_final").alias("n_final"))
     stats = cut_lineage(stats)
-    totals = {r.key: r.n for r in stats.where("kind = 'n'").collect()}  # 3 rows
+    totals = {r.key: r.n for r in stats.where("kind in ('n', 't')").collect()}  # 3 rows
     # at most 1 / 3e-6 words, 5,000 lines, 500 shapes and 500 suffixes whatever the corpus
     least_word = max(5, int(3e-6 * totals.get("words", 0)))
     words = stats.where((F.col("kind") == "w") & (F.col("n") >= least_word))

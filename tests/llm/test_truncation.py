@@ -100,3 +100,12 @@ def test_awkward_tables(spark):
     got = Counter((r.doc_id, r.cut) for r in find_truncated(df).collect())
     assert got[3, None] == 2 and got[1, None] == 1 and got[None, None] == 1 and sum(got.values()) == 5
     assert find_truncated(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_teach_their_cut_end(spark):
+    rng = random.Random(4)
+    cut = {"p": "Gestern am Hafen gewesen.\nAlles ruhig und dann ging es zur Brück", "q": "The ferry was full so we walked back to the quaysi"}
+    rows = [(i, "s", post(rng, 4) + "\n" * (i % 7 + 1) + ("bis dann allerseits" if i % 9 == 0 else "It ends here."), f"a{i % 50}", "m", 1) for i in range(600)]
+    rows += [(1000 + i, f"s{i % 4}", cut[k], f"a{i}", "m", 1) for k, first in (("p", 0), ("q", 200)) for i in range(first, first + 200)]
+    found = {r.doc_id for r in find_truncated(spark.createDataFrame(rows, DDL).repartition(3)).where("cut is not null").collect()}
+    assert found == {1000 + i for i in range(400)}
