@@ -2,8 +2,8 @@
 
 1. Hidden limits: every text's length is recomputed in several units (characters, UTF-8 bytes,
    UTF-16 units) and under escapings it may have had when it was stored (entities, JSON, newline
-   conversion). Counted per source, a field limit shows as a pile of texts at one length, tallest
-   in the unit the limit is meant in.
+   conversion). Counted per source, a field limit shows as a pile of different texts at one length,
+   tallest in the unit the limit is meant in.
 2. Ways to end: over all texts, which short lines end posts again and again (closing words), which
    words may end a sentence, and what shape links have. Words and lines below a share of all words
    or posts are not kept, which bounds these tables whatever the corpus.
@@ -20,6 +20,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -86,24 +88,32 @@ def length_measures(text: Column) -> dict[str, Column]:
 
 
 def length_limits(docs: DataFrame, text: str, source: str, least: int = 8, times: float = 10.0, shortest: int = 64) -> DataFrame:
-    """source, measure, value, n, excess: lengths at which texts pile up.
+    """source, measure, value, n, excess: lengths at which different texts pile up.
 
-    A pile has at least ``least`` texts and ``times`` as many as lengths nearby have on average (plus
-    one). Below ``shortest`` a pile is one short answer given by many. Per source only the measure with the tallest pile is kept: under any other one the same
-    texts are spread out.
+    Copies of a text count once. A pile has at least ``least`` texts and ``times`` as many as lengths
+    nearby have on average (plus one). Below ``shortest`` a pile is one short answer given by many.
+    Under other measures a part of the same texts piles up too: each text is left to the tallest pile
+    it belongs to, and a pile is kept if it still is one by the texts left to it. So a source may have
+    limits in several measures.
     """
     # counted once per text; the measures are sums of these columns
-    counted = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), *(c.alias(k) for k, c in character_counts(F.col(text)).items()))
+    counted = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.xxhash64(text).alias("digest"), *(c.alias(k) for k, c in character_counts(F.col(text)).items()))
+    counted = cut_lineage(counted.dropDuplicates(["source", "digest"]))
     measures = measures_of({k: F.col(k) for k in counted.columns})
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("rank"), c.cast("int").alias("value")) for i, (m, c) in enumerate(measures.items()))))
-    counts = counted.select("source", each.alias("m")).groupBy("source", "m.measure", "m.rank", "m.value").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("rank"), c.cast("int").alias("value"), F.lit(SLACK.get(m, 1)).alias("slack")) for i, (m, c) in enumerate(measures.items()))))
+    lengths = counted.select("source", "digest", each.alias("m")).select("source", "digest", "m.*")
+    counts = lengths.groupBy("source", "measure", "rank", "slack", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source", "measure").orderBy("value")
     near, wide = (F.coalesce(F.sum("n").over(w.rangeBetween(-k, k)), F.lit(0)) for k in (4, 30))
     around = (wide - near) / 52.0
-    piles = counts.withColumn("around", around).where((F.col("value") >= shortest) & (F.col("n") >= least) & (F.col("n") > times * (F.col("around") + 1)))
-    piles = piles.withColumn("excess", F.col("n") - F.col("around"))
-    best = F.first("measure").over(Window.partitionBy("source").orderBy(F.desc("excess"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return piles.withColumn("__best", best).where("measure = __best").select("source", "measure", "value", "n", "excess")
+    tall = (F.col("n") >= least) & (F.col("n") > times * (F.col("around") + 1))
+    piles = cut_lineage(counts.withColumn("around", around).where((F.col("value") >= shortest) & tall))
+    reach = piles.select(F.col("source").alias("__source"), F.col("measure").alias("__measure"), F.col("n").alias("height"), "around", F.col("value").alias("pile"), F.explode(F.sequence(F.col("value") - F.col("slack"), "value")).alias("__value"))
+    on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("measure") == F.col("__measure")) & (F.col("value") == F.col("__value"))
+    own = F.max(F.struct("height", (-F.col("rank")).alias("rank"), (F.col("value") == F.col("pile")).alias("full"), "pile", "measure", "around")).alias("p")
+    left = lengths.join(reach, on).groupBy("source", "digest").agg(own).where("p.full")
+    left = left.groupBy("source", "p.measure", F.col("p.pile").alias("value"), "p.around").agg(F.count("*").alias("n")).where(tall)
+    return left.select("source", "measure", "value", "n", (F.col("n") - F.col("around")).alias("excess"))
 
 
 # -- 2: ways to end ------------------------------------------------------------------------------
@@ -169,7 +179,7 @@ def _link_shape(link: str) -> str:
     return re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+(?:[-_][^\W\d_]+)*", "a", link.rstrip(".,;:!?)")))
 
 
-def _statistics(at_limit):
+def _statistics():
     """kind w: words and how often they end a sentence; k: link shapes; n: words, links. Per context l: last lines; t: texts.
 
     Copies of a post share the context, so they can't pass its cut-off end for a closing line.
@@ -189,7 +199,7 @@ def _statistics(at_limit):
             return batch
 
         for b in batches:
-            for s, t, m, digest in zip(*(c.to_pylist() for c in b.columns)):
+            for t, at_limit, digest in zip(*(c.to_pylist() for c in b.columns)):
                 if not t:
                     continue
                 low = t.lower()
@@ -199,7 +209,7 @@ def _statistics(at_limit):
                 seen["w"].update([w for w, _ in ws])
                 seen["n"]["words"] += len(ws)
                 seen["f"].update([w for w, stop in ws if stop])
-                if not at_limit(s, m):
+                if not at_limit:
                     for x in _LINK.finditer(t):
                         seen["k"][_link_shape(x[0].split("<")[0])] += 1
                         seen["n"]["links"] += 1
@@ -216,20 +226,21 @@ def _statistics(at_limit):
 
 @dataclass
 class Limits:
-    """Per source the measure its limits are meant in, and the limits."""
+    """Per source and measure the lengths at its limits."""
 
-    measure: dict[str | None, str] = field(default_factory=dict)
-    values: dict[str | None, set[int]] = field(default_factory=dict)
+    values: dict[str | None, dict[str, set[int]]] = field(default_factory=dict)
 
-    def __call__(self, source: str | None, value: int | None) -> bool:
-        return value is not None and value in self.values.get(source, ())
+    def add(self, source: str | None, measure: str, value: int) -> None:
+        at = range(value - SLACK.get(measure, 1), value + 1)
+        self.values.setdefault(source, {}).setdefault(measure, set()).update(at)
 
-    def of(self, text: str, source: str) -> Column:
-        """Each text's length in the measure of its source; null where the source has no limit."""
-        measures, out = length_measures(F.col(text)), F.lit(None).cast("int")
-        for s, m in self.measure.items():
-            out = F.when(F.col(source).eqNullSafe(F.lit(s)), measures[m]).otherwise(out)
-        return out.cast("int")
+    def reached(self, text: str, source: str) -> Column:
+        """Whether a text has the length of one of its source's limits."""
+        measures, out = length_measures(F.col(text)), F.lit(False)
+        for s, known in self.values.items():
+            at = reduce(or_, (measures[m].isin(sorted(v)) for m, v in known.items()))
+            out = F.when(F.col(source).eqNullSafe(F.lit(s)), F.coalesce(at, F.lit(False))).otherwise(out)
+        return out
 
 
 @dataclass
@@ -323,12 +334,10 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     slim = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), F.col(text).alias("text"), F.col(author).alias("author"))
     limits = Limits()
     for r in length_limits(slim, "text", "source").collect():
-        limits.measure[r.source] = r.measure
-        slack = SLACK.get(r.measure, 1)
-        limits.values.setdefault(r.source, set()).update(range(r.value - slack, r.value + 1))
-    measured = slim.withColumn("measured", limits.of("text", "source"))
+        limits.add(r.source, r.measure, r.value)
+    measured = slim.withColumn("at_limit", limits.reached("text", "source"))
 
-    stats = measured.select("source", "text", "measured", F.xxhash64("text")).mapInArrow(_statistics(limits), "kind string, key string, context bigint, n bigint, n_final bigint")
+    stats = measured.select("text", "at_limit", F.xxhash64("text")).mapInArrow(_statistics(), "kind string, key string, context bigint, n bigint, n_final bigint")
     stats = stats.groupBy("kind", "key", "context").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
     n = F.when(F.col("kind").isin("l", "t"), 1).otherwise(F.col("n"))  # last lines and texts count once per context
     stats = stats.groupBy("kind", "key").agg(F.sum(n).alias("n"), F.sum("n_final").alias("n_final"))
@@ -348,17 +357,17 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
         {r.key for r in lines.select("key").collect()} | CLOSINGS,
         {r.key for r in shapes.select("key").collect()},
     )
-    facts = docs.sparkSession.sparkContext.broadcast((limits, known))
+    facts = docs.sparkSession.sparkContext.broadcast(known)
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_limit, endings = facts.value
+        endings = facts.value
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)))
-            cut = [cut_off(t, a, at_limit(s, m), endings) for s, t, a, m in rows]
+            rows = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))
+            cut = [cut_off(t, a, at, endings) for t, a, at in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["__key", "source", "cut"])
 
     schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("source", T.StringType()), T.StructField("cut", T.StringType())])
-    out = measured.select("__key", "source", "text", "author", "measured").mapInArrow(inspect, schema)
+    out = measured.select("__key", "source", "text", "author", "at_limit").mapInArrow(inspect, schema)
     return out.select(F.col("__key").alias(key), F.col("source").alias(source), "cut")
 
 

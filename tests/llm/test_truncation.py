@@ -109,3 +109,27 @@ def test_copies_do_not_teach_their_cut_end(spark):
     rows += [(1000 + i, f"s{i % 4}", cut[k], f"a{i}", "m", 1) for k, first in (("p", 0), ("q", 200)) for i in range(first, first + 200)]
     found = {r.doc_id for r in find_truncated(spark.createDataFrame(rows, DDL).repartition(3)).where("cut is not null").collect()}
     assert found == {1000 + i for i in range(400)}
+
+
+def ramble(rng, words):
+    letters = "aeinrst" * 5 + "äé"
+    return "".join("".join(rng.choices(letters, k=rng.randint(1, 11))) + rng.choice((" ", " ", " ", " \"", " & ", ".\n")) for _ in range(words)).strip()
+
+
+def test_copies_are_no_limit_and_hide_none(spark):
+    rng = random.Random(6)
+    whole = "It ends at the harbour, and then we waited there for the long winter..."
+    rows = [(i, "s", ramble(rng, rng.randint(4, 200)).encode()[:400].decode(errors="ignore"), "a", "m", 1) for i in range(400)]
+    rows += [(1000 + i, "s", whole + " " * (i % 2), "a", "m", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, DDL).repartition(3)
+    limits = {(r.measure, r.value) for r in length_limits(df, "text", "source").collect()}
+    assert ("utf8", 400) in limits and all(m == "utf8" and v in (399, 400) for m, v in limits)
+    assert not any(r.doc_id >= 1000 for r in find_truncated(df).where("cut is not null").collect())
+
+
+def test_limits_in_two_measures(spark):
+    rng = random.Random(7)
+    cut = [lambda t: t.encode()[:400].decode(errors="ignore"), lambda t: t[:700]]
+    rows = [(i, "s", cut[i % 2](ramble(rng, rng.randint(4, 250))), "a", "m", 1) for i in range(900)]
+    limits = {(r.measure, r.value) for r in length_limits(spark.createDataFrame(rows, DDL), "text", "source").collect()}
+    assert {("utf8", 400), ("chars", 700)} <= limits and limits <= {("utf8", 399), ("utf8", 400), ("chars", 699), ("chars", 700)}
