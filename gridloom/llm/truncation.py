@@ -235,9 +235,13 @@ class Limits:
         self.values.setdefault(source, {}).setdefault(measure, set()).update(at)
 
     def reached(self, text: str, source: str) -> Column:
-        """Whether a text has the length of one of its source's limits."""
+        """Whether a text has the length of one of its source's limits; without a source, of any limit."""
         measures, out = length_measures(F.col(text)), F.lit(False)
-        for s, known in self.values.items():
+        every: dict[str, set[int]] = {}
+        for known in self.values.values():
+            for m, v in known.items():
+                every.setdefault(m, set()).update(v)
+        for s, known in {**self.values, **({None: every} if every else {})}.items():
             at = reduce(or_, (measures[m].isin(sorted(v)) for m, v in known.items()))
             out = F.when(F.col(source).eqNullSafe(F.lit(s)), F.coalesce(at, F.lit(False))).otherwise(out)
         return out

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from gridloom.llm.truncation import Endings, cut_off, find_truncated, length_limits, length_measures, truncation_by_source
+from gridloom.llm.truncation import Endings, Limits, cut_off, find_truncated, length_limits, length_measures, truncation_by_source
 
 RNG = random.Random(5)
 NOUNS = ["harbour", "lantern", "meadow", "signpost", "causeway", "elevation", "märkte", "cañada"]
@@ -133,3 +133,23 @@ def test_limits_in_two_measures(spark):
     rows = [(i, "s", cut[i % 2](ramble(rng, rng.randint(4, 250))), "a", "m", 1) for i in range(900)]
     limits = {(r.measure, r.value) for r in length_limits(spark.createDataFrame(rows, DDL), "text", "source").collect()}
     assert {("utf8", 400), ("chars", 700)} <= limits and limits <= {("utf8", 399), ("utf8", 400), ("chars", 699), ("chars", 700)}
+
+
+def test_null_source_knows_all_limits(spark):
+    limits = Limits()
+    for source, measure, value in (("a", "utf8", 90), ("b", "chars", 70), ("b", "html", 120), (None, "chars", 80)):
+        limits.add(source, measure, value)
+    texts = {"utf8": "ä" * 45, "chars": "x" * 70, "html": "&" * 24, "own": "x" * 80, "none": "x" * 75}
+    df = spark.createDataFrame([(k, s, t) for k, t in texts.items() for s in ("a", "b", "c", None)], "k string, source string, text string")
+    got = {(r.k, r.source) for r in df.where(limits.reached("text", "source")).collect()}
+    assert got == {("utf8", "a"), ("utf8", None), ("chars", "b"), ("chars", None), ("html", "b"), ("html", None), ("own", None)}
+    assert df.where(Limits().reached("text", "source")).count() == 0
+
+
+def test_null_source_is_cut_at_the_limit_of_another(spark):
+    rng = random.Random(8)
+    rows = [(i, "s", ramble(rng, rng.randint(4, 200))[:400], "a", "m", 1) for i in range(400)]
+    text = ("It ends at the harbour, and then we waited there. " * 9)[: 400 - len(" then harbour...")] + " then harbour..."
+    rows += [(1000, None, text, "a", "m", 1), (1001, None, text[9:], "a", "m", 1)] + [(2000 + i, None, "They left the harbour.", "a", "m", 1) for i in range(50)]
+    found = {r.doc_id for r in find_truncated(spark.createDataFrame(rows, DDL)).where("cut is not null").collect()}
+    assert 1000 in found and 1001 not in found
