@@ -257,7 +257,8 @@ def leaked(docs: Iterable[tuple[object, str | None]], index: ItemIndex, hashes:
         for (d, i), places in hits.items():
             key, ws = block[d]
             item = index.own[i]
-            if is_case(item, _neighbourhood(ws, places, len(item) + 2 * w), search):
+            # a second passage may stand far off and be too short for a hit of its own
+            if is_case(item, _neighbourhood(ws, places, len(item) + 2 * w), search) or is_case(item, ws, search):
                 yield key, i
         block.clear(), flat.clear(), starts.clear(), first.clear()
 

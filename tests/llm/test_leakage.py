@@ -110,3 +110,12 @@ def test_find_leaks(spark):
 def test_words():
     assert words("<p>Caf&eacute; [b]the[/b] thе\u00a0ﬁne</p>\n> so\u00adft") == ["cafe", "the", "the", "fine", "soft"]
     assert words(None) == [] and words("?!") == []
+
+
+def test_short_second_passage_far_off():
+    rng = random.Random(9)
+    own = {i: [f"own{i}x{k}" for k in range(30)] for i in range(20)}
+    far = lambda n: sentence(rng, n).split()
+    docs = [(i, " ".join(far(20) + ws[:8] + far(400) + ws[20:25] + far(20))) for i, ws in own.items()]
+    docs += [(100 + i, " ".join(far(20) + ws[:8] + far(400) + ws[20:23] + far(20))) for i, ws in own.items()]  # 11 words: no case
+    assert set(leaked(docs, ItemIndex.of(own, Search()), WordHashes())) == {(i, i) for i in own}
