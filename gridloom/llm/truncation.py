@@ -203,9 +203,7 @@ def _statistics():
                 if not t:
                     continue
                 low = t.lower()
-                ws = _WORDS.findall(low)
-                if ws and low.endswith(ws[-1][0]) and not ws[-1][1]:
-                    ws.pop()  # the text may have been cut in it
+                ws = _WORDS.findall(low)[:-1]  # the text may have been cut in the last one, whatever mark follows
                 seen["w"].update([w for w, _ in ws])
                 seen["n"]["words"] += len(ws)
                 seen["f"].update([w for w, stop in ws if stop])
@@ -255,6 +253,7 @@ class Endings:
     suffixes: set[str]  # usual last three letters of the rare words
     closings: set[str]
     links: set[str]
+    frequent: int = 40  # words below are rare: their last letters count too
 
     def whole(self, word: str) -> bool:
         """Whether the word is complete and may be the last one of a sentence."""
@@ -262,9 +261,7 @@ class Endings:
         if w.isdigit():
             return True
         n, final = self.words.get(w, (0, 0))
-        if n >= 40:
-            return final > 0.004 * n
-        return (n > 0 and final > 0) or w[-3:] in self.suffixes
+        return final > 0.004 * n or (n < self.frequent and w[-3:] in self.suffixes)
 
     def complete_link(self, link: str) -> bool:
         return not self.links or _link_shape(link) in self.links
@@ -327,6 +324,12 @@ def cut_off(text: str | None, author: str | None, at_limit: bool, known: Endings
     return "sentence" if known.whole(tokens[-1]) else "word"
 
 
+def word_bounds(total: int) -> tuple[int, int]:
+    """Least occurrences of a word in the word table, and of a frequent one, so that no word is neither known nor rare."""
+    least = max(5, int(3e-6 * total))
+    return least, max(40, least)
+
+
 def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", author: str = "author") -> DataFrame:
     """``key``, ``source``, n_text and ``cut``: null for a complete text, else where it was cut.
 
@@ -348,11 +351,11 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     stats = cut_lineage(stats)
     totals = {r.key: r.n for r in stats.where("kind in ('n', 't')").collect()}  # 3 rows
     # at most 1 / 3e-6 words, 5,000 lines, 500 shapes and 500 suffixes whatever the corpus
-    least_word = max(5, int(3e-6 * totals.get("words", 0)))
+    least_word, frequent = word_bounds(totals.get("words", 0))
     words = stats.where((F.col("kind") == "w") & (F.col("n") >= least_word))
     lines = stats.where((F.col("kind") == "l") & (F.col("n") >= max(4, totals.get("texts", 0) / 5000)))
     shapes = stats.where((F.col("kind") == "k") & (F.col("n") >= max(2, totals.get("links", 0) / 500)))
-    rare = stats.where((F.col("kind") == "w") & (F.col("n") < 40) & F.col("key").rlike("^[^\\W\\d]{5,}$"))
+    rare = stats.where((F.col("kind") == "w") & (F.col("n") < frequent) & F.col("key").rlike("^[^\\W\\d]{5,}$"))
     suffixes = rare.groupBy(F.substring("key", -3, 3).alias("key")).agg(F.sum("n").alias("n"))
     total = suffixes.agg(F.sum("n")).first()[0] or 0
     known = Endings(
@@ -360,6 +363,7 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
         {r.key for r in suffixes.where(F.col("n") > 0.002 * total).collect()},
         {r.key for r in lines.select("key").collect()} | CLOSINGS,
         {r.key for r in shapes.select("key").collect()},
+        frequent,
     )
     facts = docs.sparkSession.sparkContext.broadcast(known)
 

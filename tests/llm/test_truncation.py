@@ -153,3 +153,22 @@ def test_null_source_is_cut_at_the_limit_of_another(spark):
     rows += [(1000, None, text, "a", "m", 1), (1001, None, text[9:], "a", "m", 1)] + [(2000 + i, None, "They left the harbour.", "a", "m", 1) for i in range(50)]
     found = {r.doc_id for r in find_truncated(spark.createDataFrame(rows, DDL)).where("cut is not null").collect()}
     assert 1000 in found and 1001 not in found
+
+
+def test_fragments_before_dots_are_no_words(spark):
+    rng = random.Random(3)
+    rows = [(i, "s", post(rng, rng.randint(1, 9)), "a", "m", 1) for i in range(400)]
+    rows += [(1000 + i, "s", post(rng, rng.randint(1, 9)) + " Then on to the quaysi...", "a", "m", 1) for i in range(10)]
+    found = {r.doc_id: r.cut for r in find_truncated(spark.createDataFrame(rows, DDL)).where("cut is not null").collect()}
+    assert found == {1000 + i: "mark" for i in range(10)}
+
+
+def test_no_word_is_between_the_tables():
+    from gridloom.llm.truncation import word_bounds
+
+    for total in (0, 10**6, 10**7, 10**8, 10**10):
+        least, frequent = word_bounds(total)
+        assert least <= frequent
+        known = Endings({"the": (frequent, 0), "meadow": (frequent, frequent)}, {"our"}, set(), set(), frequent)
+        assert known.whole("harbour") and known.whole("meadow") and not known.whole("the")
+    assert word_bounds(10**8) == (300, 300)
