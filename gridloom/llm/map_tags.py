@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.cooccur import associations, pair_counts
 from gridloom.llm.frequency import dictionary_frequencies, term_frequencies, usefulness_mark
-from gridloom.llm.resolve import KINDS, current_dictionaries, current_features, dictionary_terms
-from gridloom.tables import table
+from gridloom.llm.resolve import current_dictionaries, current_features, dictionary_terms
 
 
 def p1_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, sf_dir: str, least: int = 1, per_mille: int = 0, lift: int = 0) -> DataFrame:
     """Every pair of tags carried by one feature, with its counts and its ratio to chance."""
-    sizes = [table(spark, sf_dir, k).agg(F.max(F.size("tags"))).first()[0] for k in KINDS]  # replaced rows too: a bound
-    counts = pair_counts(current_features(spark, sf_dir), largest=max((n or 0 for n in sizes), default=0))
+    counts = pair_counts(current_features(spark, sf_dir))
     scored = associations(counts, least, per_mille)
     # n_ab n >= lift n_a n_b in whole numbers: the ratio as a double could round across the limit
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n_a", "n_b", "n")}

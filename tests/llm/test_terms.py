@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent / "tools"))
 from parity import bag, views  # noqa: E402
@@ -72,6 +73,34 @@ def test_pair_counts(spark, ordinary, chunk):
     assert pair_counts(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_huge_and_equal_baskets(spark):
+    """One basket of 10,001 items, forty equal ones of 700 and ordinary ones that share their items."""
+    giant, big, small = list(range(10_001)), list(range(0, 7_000, 10)), [3, 10, 20]
+    rows = [("poi", giant)] + [("poi", big[::-1])] * 40 + [("poi", small)] * 7 + [("way", big + [None, 0])]
+    counts = pair_counts(spark.createDataFrame(rows, "kind string, ids array<bigint>").repartition(5))
+    picked = [(10, 20), (3, 10), (3, 4), (10, 10), (20, 20), (9_999, 10_000)]
+    one = [F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("n"))).alias(f"p{i}") for i, (a, b) in enumerate(picked)]
+    got = {(r.kind, r.what): r for r in counts.groupBy("kind", "what").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *one).collect()}
+    n_giant, n_big = 10_001 * 10_000 // 2, 700 * 699 // 2
+    assert {k: (r.c, r.n) for k, r in got.items()} == {
+        ("poi", 0): (1, 48), ("poi", 1): (10_001, 10_001 + 40 * 700 + 7 * 3), ("poi", 2): (n_giant, n_giant + 40 * n_big + 7 * 3),
+        ("way", 0): (1, 1), ("way", 1): (700, 700), ("way", 2): (n_big, n_big),
+    }
+    r, d = got["poi", 2], got["poi", 1]
+    assert (r.p0, r.p1, r.p2, r.p5, d.p3, d.p4) == (48, 8, 1, 1, 48, 48)
+
+
+def test_both_branches_share_one_pass(spark):
+    """Whatever the baskets, the products of chunks are planned, and the baskets are read once."""
+    for size in (2, 70):
+        counts = pair_counts(spark.createDataFrame([("poi", list(range(size)))], "kind string, ids array<bigint>"))
+        assert counts.count() == 1 + size * (size + 1) // 2
+        counts.collect()
+        final, initial = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+        assert "_products" in initial and final.count("MapInArrow run") == 1
+        assert size < 65 or "ReusedExchange" in final
+
+
 def test_associations(spark):
     rows = [("poi", [1, 2])] * 6 + [("poi", [1])] * 4 + [("poi", None)] * 10 + [("poi", [2, 3])] * 2
     counts = pair_counts(spark.createDataFrame(rows, "kind string, ids array<bigint>"))
