@@ -5,12 +5,14 @@ Goldenberg and Koucký: at each step the walk writes the word under its pointer
 as a random bit of (step, word) says. Walks over two windows that differ by few edits soon run in
 step again, so the written strings agree in most places. Sampling some of these places gives a hash
 that near windows share with fair probability; several walks with several samples each bring the
-recall to where it is wanted. Windows are shorter than an item, so parts of items are found too.
+recall to where it is wanted. Parts of items count as well as whole ones, so the windows have the
+size of the least passage that can make a case, not of the whole item.
 
 A document is read once, whole: its windows are hashed and looked up in the index of the items, and
-items that were hit are verified there and then against the document by an alignment. Nothing is
-shuffled, so copies of a text posted again and again load no single task. The items are taken in
-blocks of bounded size; a set larger than a block is searched block by block.
+every item that was hit is verified against the whole document by edit distance: a dynamic programme
+over all passages of the item, run where the two share a few words in a row, which every passage does.
+Nothing is shuffled, so copies of a text posted again and again load no single task. The items are
+taken in blocks of bounded size; all blocks are searched in the one pass over the documents.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from pyspark.sql import types as T
 
 from gridloom.llm.words import words
 
-#: Items whose index is held at once; the proven bound of what is sent to the executors.
+#: Items whose index a task holds at once, whatever the number of items.
 ITEM_BLOCK = 5_000
-#: Words hashed at once in a task.
+#: Words hashed at once in a task, per block of items.
 STRETCH = 1 << 17
 
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
@@ -139,8 +142,10 @@ class ItemIndex:
     search: Search
     own: dict[int, list[str]]
     words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of all items' words
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of neighbours in it
     item_of: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # bitmap, hashes, places in words
+    first: dict[int, int] = field(default_factory=dict)  # where an item's words begin
 
     BITS = 20
 
@@ -148,16 +153,18 @@ class ItemIndex:
     def of(cls, own: dict[int, list[str]], search: Search) -> ItemIndex:
         hashes = WordHashes()
         own = {i: ws for i, ws in own.items() if len(ws) >= max(search.window, search.least_words)}
+        index = cls(search, own)
         flat, starts, items = [], [], []
         for item, ws in own.items():
             n = len(ws) - search.window + 1
             starts.append(np.arange(len(flat), len(flat) + n))
             items.append(np.full(len(ws), item))
+            index.first[item] = len(flat)
             flat += hashes(ws)
-        index = cls(search, own)
         if own:
             h = index.words = np.array(flat + [0] * search.window, np.uint64)
             index.item_of = np.concatenate(items)
+            index.pairs = _runs(h, 2)
             s = np.concatenate(starts)
             for _, hs in window_hashes(h, s, search):
                 order = np.argsort(hs, kind="stable")
@@ -166,19 +173,14 @@ class ItemIndex:
                 index.tables.append((bitmap, hs[order], s[order]))
         return index
 
-    def _near(self, h: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether two windows agree in all but two words, each word allowed a shift by up to two."""
-        agreed = np.zeros(at.size, np.int64)
-        for k in range(self.search.window):
-            word = h[at + k]
-            same = np.zeros(at.size, bool)
-            for shift in range(-2, 3):
-                same |= word == self.words[np.clip(place + k + shift, 0, self.words.size - 1)]
-            agreed += same
-        return agreed >= self.search.window - 2
+    def hashed(self, item: int) -> np.ndarray:
+        return self.words[self.first[item] : self.first[item] + len(self.own[item])]
+
+    def pairs_of(self, item: int) -> np.ndarray:
+        return self.pairs[self.first[item] : self.first[item] + len(self.own[item]) - 1]
 
     def candidates(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of near window pairs that share a hash, without repetitions."""
+        """(start, item) of window pairs that share a hash, without repetitions."""
         found = []
         mask = np.uint64((1 << self.BITS) - 1)
         for table, hs in window_hashes(h, starts, self.search):
@@ -188,91 +190,255 @@ class ItemIndex:
             n = np.searchsorted(known, hs[maybe], side="right") - lo
             at = starts[np.repeat(maybe, n)]
             place = places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            near = self._near(h, at, place)
-            found.append(at[near] * self.words.size + place[near])
+            found.append(at * self.words.size + place)
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         return pairs // self.words.size, self.item_of[pairs % self.words.size]
 
 
-def passages(item: list[str], text: list[str], search: Search) -> list[tuple[int, int]]:
-    """The item's word ranges that stand in the text: the best one or two, in order, edits bounded."""
-    blocks = [m for m in SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks() if m.size]
-    spans = []  # (item from, item to, first block, last block)
-    for s, first in enumerate(blocks):
-        edits = 0
-        for e in range(s, len(blocks)):
-            if e > s:
-                a, b = blocks[e - 1], blocks[e]
-                edits += max(b.a - a.a - a.size, b.b - a.b - a.size)  # each gap needs at most so many edits
-            to = blocks[e].a + blocks[e].size
-            if edits * search.words_per_edit > len(item):
-                break
-            if edits * search.words_per_edit <= to - first.a and to - first.a >= search.passage_words:
-                spans.append((first.a, to, s, e))
-    best: list[tuple[int, int]] = []
-    total = 0
-    after = {s: max((x for x in spans if x[2] >= s), key=lambda x: x[1] - x[0], default=None) for s in range(len(blocks) + 1)}
-    for a, b, _, e in spans:
-        other = after[e + 1] if search.passages > 1 else None
-        n = b - a + (other[1] - other[0] if other else 0)
-        if n > total:
-            total, best = n, [(a, b), *([other[:2]] if other else [])]
+# -- verification --------------------------------------------------------------------------------
+
+
+def least_run(search: Search) -> int:
+    """Words in a row that every passage shares with the item, as e edits leave at most e + 1 runs."""
+    least = lambda e: max(search.passage_words, e * search.words_per_edit) - e
+    return max(1, min(-(-least(e) // (e + 1)) for e in range(64)))
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row."""
+    out = h[: max(h.size - k + 1, 0)]
+    for i in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + out.size]
+    return out
+
+
+def _among(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Which of x stand in the sorted pool."""
+    if not pool.size:
+        return np.zeros(x.size, bool)
+    return pool[np.minimum(np.searchsorted(pool, x), pool.size - 1)] == x
+
+
+def may_be_case(item_pairs: np.ndarray, text_pairs: np.ndarray, search: Search, enough: int) -> bool:
+    """False only where the item has too few pairs of neighbouring words in common with the text.
+
+    A passage of n words has n - 1 such pairs, and an edit takes away at most two of them.
+    ``text_pairs`` are sorted.
+    """
+    return np.count_nonzero(_among(item_pairs, text_pairs)) >= enough - 2 * enough / search.words_per_edit - search.passages
+
+
+def _offsets(item: np.ndarray, text: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the text the item would begin by the words in a row they share, and how many say so."""
+    k = least_run(search)
+    known, runs = _runs(item, k), _runs(text, k)
+    order = np.argsort(known, kind="stable")
+    known = known[order]
+    hits = np.flatnonzero(_among(runs, known))
+    lo = np.searchsorted(known, runs[hits])
+    n = np.searchsorted(known, runs[hits], side="right") - lo
+    place = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    return np.unique(np.repeat(hits, n) - place, return_counts=True)
+
+
+def _in_step(item: np.ndarray, text: np.ndarray, start: int, search: Search) -> int:
+    """Words of the longest passage at this offset whose edits only replace words: no more than there are."""
+    lo, hi = max(0, -start), min(item.size, text.size - start)
+    same = item[lo:hi] == text[start + lo : start + hi]
+    at = np.flatnonzero(same)
+    if not at.size:
+        return 0
+    edits = np.cumsum(~same)
+    length = at[None, :] - at[:, None] + 1
+    good = (edits[at][None, :] - edits[at][:, None]) * search.words_per_edit <= length
+    return int(np.where(good & (length >= search.passage_words), length, 0).max())
+
+
+def _regions(item: np.ndarray, text: np.ndarray, starts: np.ndarray, search: Search) -> list[tuple[int, int]]:
+    """Stretches of the text outside which no passage of the item can lie."""
+    slack = item.size // search.words_per_edit
+    out: list[list[int]] = []
+    for start in starts.tolist():
+        a, b = max(start - slack, 0), min(start + item.size + slack, text.size)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+@lru_cache(4096)
+def _range_needs(n: int, search: Search) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each range of n words: its length, whether it is long enough, the words, pairs and triples it must keep."""
+    length = (np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]).astype(np.int16)
+    edits = np.maximum(length, 0) // search.words_per_edit
+    return length, length >= search.passage_words, [length - (k - 1) - k * edits for k in (1, 2, 3)]
+
+
+def _most_words(item: np.ndarray, text: np.ndarray, search: Search) -> tuple[int, int]:
+    """No fewer words than the best passage, and the best passages together, can have.
+
+    A passage of n words with e edits keeps at least n - e of its words, n - 1 - 2 e of its pairs of
+    neighbours and n - 2 - 3 e of its triples; where the text has fewer of them, none can lie.
+    """
+    length, good, least = _range_needs(item.size, search)
+    for k, need in zip((1, 2, 3), least):
+        here = _among(_runs(item, k), np.sort(_runs(text, k)))
+        upto = np.zeros(item.size + k, np.int16)  # runs that begin before i
+        np.cumsum(here, out=upto[1 : here.size + 1])
+        upto[here.size + 1 :] = upto[here.size]
+        held = upto[None, np.maximum(np.arange(item.size + 1) - k + 1, 0)] - upto[: item.size + 1, None]
+        good = good & (held >= need)
+    length = np.where(good, length, 0)
+    before = np.maximum.accumulate(length.max(axis=0))
+    after = np.maximum.accumulate(length.max(axis=1)[::-1])[::-1]
+    return int(before[-1]), int((before + after).max() if search.passages > 1 else before[-1])
+
+
+def _reach(item: np.ndarray, text: np.ndarray, regions: list[tuple[int, int]], search: Search, enough: int) -> np.ndarray:
+    """[p, i]: words of the longest passage within the first p words of the regions and the first i of the item.
+
+    Row a of the state holds, per i, the fewest edits that turn item[a:i] into some words of the text
+    up to here. A passage begins and ends with a word that agrees and has at most one edit in
+    ``words_per_edit`` of its words. Ends early once one has ``enough`` words.
+    """
+    n = item.size
+    most = n // search.words_per_edit + 1  # one edit too many: stands for all larger numbers
+    a, i = np.arange(n)[:, None], np.arange(n + 1)[None, :]
+    length = i - a
+    slope = np.arange(n + 1, dtype=np.int16)[None, :]
+    allowed = np.where(length >= search.passage_words, length // search.words_per_edit, -1)
+    best = np.zeros((sum(y - x for x, y in regions) + 1, n + 1), np.int32)
+    p = 0
+    for x, y in regions:
+        state = np.full((n, n + 1), most, np.int16)
+        idle = True
+        for word in text[x:y]:
+            same = item == word
+            p += 1
+            best[p] = best[p - 1]
+            if idle and not same.any():
+                continue
+            idle = False
+            moved = np.full((n, n + 1), most, np.int16)
+            moved[:, 1:] = state[:, :-1]
+            ended = np.flatnonzero(same)
+            starts = moved.copy()
+            starts[ended, ended + 1] = 0
+            arrived = starts[:, ended + 1]
+            good = arrived <= allowed[:, ended + 1]
+            if good.any():
+                found = np.where(good, length[:, ended + 1], 0).max(axis=0)
+                best[p, ended + 1] = np.maximum(best[p, ended + 1], found)
+                np.maximum.accumulate(best[p], out=best[p])
+                if best[p, n] >= enough:
+                    best[p:] = best[p]
+                    return best
+            moved[:, 1:] += ~same  # another word in its place
+            moved[ended, ended + 1] = 0
+            np.minimum(moved, state + 1, out=moved)  # a word of the text too many
+            moved -= slope  # words of the item left out: one edit each
+            np.minimum.accumulate(moved, axis=1, out=moved)
+            moved += slope
+            state = np.minimum(moved, most)
+            idle = bool((state >= most).all())
     return best
 
 
+def words_in_passages(item: np.ndarray, text: np.ndarray, search: Search, enough: int | None = None) -> int:
+    """Words of the item in its best one or two passages in the text, in the item's order.
+
+    Exact in whether it reaches ``enough``; two passages overlap neither in the item nor in the text.
+    """
+    enough = item.size if enough is None else enough
+    starts, votes = _offsets(item, text, search)
+    if not starts.size:
+        return 0
+    if (n := _in_step(item, text, int(starts[votes.argmax()]), search)) >= enough:
+        return n
+    regions = _regions(item, text, starts, search)
+    if (most := _most_words(item, np.concatenate([text[a:b] for a, b in regions]), search)[1]) < enough:
+        return most
+    # offsets whose own stretch can hold no passage that is long enough beside the best one
+    each = np.array([_most_words(item, text[a:b], search)[0] for (a, b), in (_regions(item, text, starts[i : i + 1], search) for i in range(starts.size))])
+    useful = each + (each.max() if search.passages > 1 else 0) >= enough
+    if not useful.any():
+        return 0
+    regions = _regions(item, text, starts[useful], search)
+    before = _reach(item, text, regions, search, enough)
+    if search.passages < 2 or before[-1, -1] >= enough or not before[-1, -1]:
+        return int(before[-1, -1])
+    backwards = [(text.size - b, text.size - a) for a, b in reversed(regions)]
+    after = _reach(item[::-1], text[::-1], backwards, search, item.size + 1)
+    return int((before + after[::-1, ::-1]).max())
+
+
+def needed(n: int, search: Search) -> int:
+    """Words of an item of ``n`` own words that make a case."""
+    return max(search.least_words, -(-search.least_percent * n // 100))
+
+
 def is_case(item: list[str], text: list[str], search: Search) -> bool:
-    n = sum(b - a for a, b in passages(item, text, search))
-    return n >= search.least_words and 100 * n >= search.least_percent * len(item)
-
-
-def _neighbourhood(ws: list[str], at: Iterable[int], reach: int) -> list[str]:
-    """The words near the given places; a gap between two stretches is marked by a word of its own."""
-    out: list[str] = []
-    end = -1
-    for p in sorted(at):
-        lo, hi = max(p - reach, 0), min(p + reach, len(ws))
-        if lo > end >= 0:
-            out += [""] * reach  # parts two passages: no alignment bridges it
-        out += ws[max(lo, end, 0) : hi]
-        end = max(end, hi)
-    return out
+    hashes = WordHashes()
+    enough = needed(len(item), search)
+    return words_in_passages(np.array(hashes(item), np.uint64), np.array(hashes(text), np.uint64), search, enough) >= enough
+
+
+# -- search --------------------------------------------------------------------------------------
+
+
+class Blocks:
+    """The item indexes, block by block; one is held at a time, a single one is kept."""
+
+    def __init__(self, own: list[dict[int, list[str]]], search: Search):
+        self.own, self.search = own, search
+        self.kept = ItemIndex.of(own[0], search) if len(own) == 1 else None
+
+    def __iter__(self) -> Iterator[ItemIndex]:
+        if self.kept:
+            yield self.kept
+        else:
+            yield from (ItemIndex.of(o, self.search) for o in self.own)
 
 
-def leaked(docs: Iterable[tuple[object, str | None]], index: ItemIndex, hashes: WordHashes) -> Iterator[tuple[object, int]]:
+def leaked(docs: Iterable[tuple[object, str | None]], blocks: Blocks | ItemIndex, hashes: WordHashes) -> Iterator[tuple[object, int]]:
     """(document, item) of every verified case."""
-    search, w = index.search, index.search.window
-    if not index.tables:
-        return
-    block: list[tuple[object, list[str]]] = []
+    if isinstance(blocks, ItemIndex):
+        blocks = Blocks([blocks.own], blocks.search)
+    search, w = blocks.search, blocks.search.window
+    keys: list[object] = []
     flat: list[int] = []
-    starts: list[np.ndarray] = []
     first: list[int] = []
 
     def run() -> Iterator[tuple[object, int]]:
-        at, items = index.candidates(np.array(flat + [0] * w, np.uint64), np.concatenate(starts))
-        doc = np.searchsorted(first, at, side="right") - 1
-        hits: dict[tuple[int, int], list[int]] = {}
-        for d, i, p in zip(doc.tolist(), items.tolist(), at.tolist()):
-            hits.setdefault((d, i), []).append(p - first[d])
-        for (d, i), places in hits.items():
-            key, ws = block[d]
-            item = index.own[i]
-            # a second passage may stand far off and be too short for a hit of its own
-            if is_case(item, _neighbourhood(ws, places, len(item) + 2 * w), search) or is_case(item, ws, search):
-                yield key, i
-        block.clear(), flat.clear(), starts.clear(), first.clear()
+        h = np.array(flat + [0] * w, np.uint64)
+        ends = first[1:] + [len(flat)]
+        starts = np.concatenate([np.arange(a, b - w + 1) for a, b in zip(first, ends)])
+        for index in blocks:
+            if not index.tables:
+                continue
+            at, items = index.candidates(h, starts)
+            doc = np.searchsorted(first, at, side="right") - 1
+            last, text, text_pairs = -1, h[:0], h[:0]
+            for d, i in zip(*(x.tolist() for x in np.divmod(np.unique(doc * (1 << 32) + items), 1 << 32))):
+                item, enough = index.hashed(i), needed(len(index.own[i]), search)
+                if d != last:
+                    last, text = d, h[first[d] : ends[d]]
+                    text_pairs = np.sort(_runs(text, 2))
+                if may_be_case(index.pairs_of(i), text_pairs, search, enough) and words_in_passages(item, text, search, enough) >= enough:
+                    yield keys[d], i
+        keys.clear(), flat.clear(), first.clear()
 
     for key, text in docs:
         ws = words(text)
         if len(ws) < search.least_words:
             continue
         first.append(len(flat))
-        starts.append(np.arange(len(flat), len(flat) + len(ws) - w + 1))
-        block.append((key, ws))
+        keys.append(key)
         flat += hashes(ws)
-        if len(flat) > STRETCH:
+        if len(flat) > STRETCH * len(blocks.own):
             yield from run()
-    if block:
+    if keys:
         yield from run()
 
 
@@ -289,37 +455,35 @@ def find_leaks(
     """``key`` and ``item_key`` of every document that holds a passage of an item.
 
     A case: at least 12 words and 40 percent of the item's own words stand in the document, in one or
-    two passages in the item's order, with up to one word in six of a passage changed. Sentences that
-    several items share are not an item's own. Null and empty texts, and items of under 12 own words,
-    have no case; of items with equal keys the one with the greatest text counts; repeated documents
-    give one row each time. The items are the stated query set: they are read on the driver and
-    searched in blocks of ``block`` items; the documents are not moved at all.
+    two passages in the item's order, with up to one word in six of a passage changed, left out or put
+    in. Sentences that several items share are not an item's own. Null and empty texts, and items of
+    under 12 own words, have no case; of items with equal keys the one with the greatest text counts;
+    repeated documents give one row each time. The items are the stated query set: they are read on the
+    driver and their words are sent to the tasks, which hold the index of one block of ``block`` items
+    at a time. The documents are read once and not moved at all.
     """
     rows = items.select(item_key, item_text).where(items[item_key].isNotNull()).collect()
     texts = dict(sorted((r[0], r[1] or "") for r in rows))
     shared = shared_sentences(texts.values())
     names = sorted(texts)
     number = {k: i for i, k in enumerate(names)}
-    schema = T.StructType([docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType)])
-    source = docs.select(key, text)
-    sc = docs.sparkSession.sparkContext
-    parts = []
-    for lo in range(0, max(len(names), 1), block):
-        some = [(number[k], texts[k]) for k in names[lo : lo + block]]
-        index = sc.broadcast(ItemIndex.of(own_words(some, shared), search))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
+    own = own_words([(number[k], texts[k]) for k in names], shared)
+    parts = [{i: own[i] for i in range(lo, min(lo + block, len(names)))} for lo in range(0, len(names), block)]
+    sent = docs.sparkSession.sparkContext.broadcast((parts or [{}], names))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        own_parts, ids = sent.value
+        blocks = Blocks(own_parts, search)
+
+        def texts_of() -> Iterator[tuple[object, str | None]]:
             for b in batches:
-                keys = b.column(0)
-                pairs = list(leaked(enumerate(b.column(1).to_pylist()), index.value, hashes))
-                if pairs:
-                    at, found = zip(*pairs)
-                    ids = pa.array([names[i] for i in found])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), ids], names=[key, item_key])
-
-        parts.append(source.mapInArrow(scan, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                yield from zip(b.column(0), b.column(1).to_pylist())
+
+        pairs = leaked(texts_of(), blocks, hashes)
+        while some := list(islice(pairs, 10_000)):
+            keys, found = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], keys[0].type), pa.array([ids[i] for i in found])], names=[key, item_key])
+
+    schema = T.StructType([docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType)])
+    return docs.select(key, text).mapInArrow(scan, schema)

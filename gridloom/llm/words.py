@@ -14,8 +14,8 @@ LOOKALIKES = {
     "ı": "i", "ℓ": "l", "ɑ": "a", "ɡ": "g", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d",
 }
 _LOOK = str.maketrans(LOOKALIKES)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,500}>|\[/?[a-zA-Z*]{1,10}(?:=[^\[\]]{0,300})?\]")
-_LINK = re.compile(r"\]\(\s*[^()\s]{1,500}\s*\)|\b(?:https?|ftp)://\S+|\bwww\.\S+", re.I)
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>|\[/?[a-zA-Z*]{1,10}(?:=[^\[\]]*)?\]")
+_LINK = re.compile(r"\]\(\s*[^()\s]+\s*\)|\b(?:https?|ftp)://\S+|\bwww\.\S+", re.I)
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _MARK = re.compile("[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")

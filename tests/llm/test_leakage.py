@@ -3,7 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
-from gridloom.llm.leakage import ItemIndex, Search, WordHashes, find_leaks, is_case, leaked, own_words, shared_sentences
+import numpy as np
+
+from gridloom.llm.leakage import ItemIndex, Search, WordHashes, find_leaks, is_case, leaked, own_words, shared_sentences, words_in_passages
 from gridloom.llm.words import words
 
 RNG = random.Random(7)
@@ -119,3 +121,47 @@ def test_short_second_passage_far_off():
     docs = [(i, " ".join(far(20) + ws[:8] + far(400) + ws[20:25] + far(20))) for i, ws in own.items()]
     docs += [(100 + i, " ".join(far(20) + ws[:8] + far(400) + ws[20:23] + far(20))) for i, ws in own.items()]  # 11 words: no case
     assert set(leaked(docs, ItemIndex.of(own, Search()), WordHashes())) == {(i, i) for i in own}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def best_passages(item, text, search):
+    """Every range of the item against every range of the text."""
+    found = [
+        (a, b, s, e)
+        for a in range(len(item)) for b in range(a + search.passage_words, len(item) + 1)
+        for s in range(len(text)) for e in range(s + 1, len(text) + 1)
+        if item[a] == text[s] and item[b - 1] == text[e - 1] and search.words_per_edit * edit_distance(item[a:b], text[s:e]) <= b - a
+    ]
+    one = max((b - a for a, b, _, _ in found), default=0)
+    return max([one] + [b - a + d - c for a, b, s, e in found for c, d, t, _ in found if c >= b and t >= e])
+
+
+def test_verification_is_exact():
+    rng = random.Random(11)
+    search = Search(passage_words=3, words_per_edit=3)
+    for trial in range(150):
+        item = [rng.choice("abcdef") for _ in range(rng.randint(6, 10))]
+        text = [rng.choice("abcdefxy") for _ in range(rng.randint(3, 6))]
+        for _ in range(rng.randint(0, 2)):  # parts of the item with an edit
+            a = rng.randint(0, len(item) - 3)
+            part = item[a : a + rng.randint(3, 6)]
+            part[rng.randrange(len(part)) : 1] = rng.choice(([], ["x"]))
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        text = text[:13]
+        want = best_passages(item, text, search)
+        codes = [np.array([ord(c) for c in ws], np.uint64) for ws in (item, text)]
+        for enough in range(3, len(item) + 1):
+            assert (words_in_passages(*codes, search, enough) >= enough) == (want >= enough), (item, text, enough, want)
+
+
+def test_long_tags_are_no_words():
+    assert words(f'one <a href="{"x " * 900}">two</a> [url={"y " * 900}]three[/url]') == ["one", "two", "three"]
