@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from gridloom.llm.truncation import Endings, Limits, cut_off, find_truncated, length_limits, length_measures, truncation_by_source
+from pyspark.sql import functions as F
+
+from gridloom.llm.truncation import FREQUENT, RATE, character_counts, ending, find_truncated, length_limits, length_measures, truncation_by_source, verdict, with_at_limit
 
 RNG = random.Random(5)
 NOUNS = ["harbour", "lantern", "meadow", "signpost", "causeway", "elevation", "märkte", "cañada"]
@@ -63,7 +65,24 @@ def test_measures(spark):
         assert (r.crlf, r.lf) == (len(t.replace("\r\n", "\n").replace("\n", "\r\n")), len(t.replace("\r\n", "\n")))
 
 
-KNOWN = Endings({"meadow": (100, 40), "wait": (50, 10), "the": (5000, 0), "near": (900, 1)}, {"our", "ern"}, {"thanks", "+#"}, {"a://a.a/a/9"})
+WORDS = {"meadow": (100, 40), "wait": (50, 10), "the": (5000, 0), "near": (900, 1)}
+SUFFIXES, CLOSINGS, LINKS = {"our", "ern"}, {"thanks", "+#"}, {"ka://a.a/a/9"}
+
+
+def whole(word):
+    n, final = WORDS.get(word, (0, 0))
+    return word == "" or final > RATE * n or (n < FREQUENT and word[-3:] in SUFFIXES)
+
+
+def cut_off(text, author, at_limit):
+    """The verdict by what is known here."""
+    from pyspark.sql import SparkSession
+
+    rule, asked, word, last = ending(text, author)
+    known = asked in LINKS or bool(last and asked and asked[0] == "l" and last[-1].lower().replace("+1", "+#") in CLOSINGS)
+    word = "?" if word is None else word
+    midway = not whole(word) and WORDS.get(word, (0, 0))[0] >= FREQUENT
+    return SparkSession.getActiveSession().range(1).select(verdict(F.lit(rule), *map(F.lit, (at_limit, known, whole(word), midway)))).first()[0]
 
 
 @pytest.mark.parametrize(
@@ -73,9 +92,9 @@ KNOWN = Endings({"meadow": (100, 40), "wait": (50, 10), "the": (5000, 0), "near"
         ("See http://muddy.inva", "link"), ("The mea…", "mark"), ("The mea [...]", "mark"), ("The mea...", "mark"), ("Done.\n-- \nrusty_ot", "signature"), ("Done.\n~ rusty_ot", "signature"), ("EDIT: it was the", "word"), ("Done.\n> quoted near the", "word"),
     ],
 )
-def test_cut(text, kind):
-    assert cut_off(text, "rusty_otter7", False, KNOWN) == kind
-    assert cut_off(text + " \r\n", "rusty_otter7", False, KNOWN) == kind
+def test_cut(spark, text, kind):
+    assert cut_off(text, "rusty_otter7", False) == kind
+    assert cut_off(text + " \r\n", "rusty_otter7", False) == kind
 
 
 @pytest.mark.parametrize(
@@ -85,14 +104,26 @@ def test_cut(text, kind):
         "Text.\n-- \nstill lost near a harbour", "Text.\nhttp://muddy.invalid/t/1234", "EDIT: found the meadow", "Text.\n> a quoted meadow", "I <3",
     ],
 )
-def test_complete(text):
-    assert cut_off(text, "rusty_otter7", False, KNOWN) is None
+def test_complete(spark, text):
+    assert cut_off(text, "rusty_otter7", False) is None
+
+
+def test_at_a_limit_only_finished_endings_count(spark):
+    for text in ("EDIT: found the meadow", "Text.\n-- \nstill lost near a harbour", "A meadow...", "one word"):
+        assert cut_off(text, "x", True) is not None
+    assert cut_off("A sentence.", "x", True) is None
 
 
-def test_at_a_limit_only_finished_endings_count():
-    for text in ("EDIT: found the meadow", "Text.\n-- \nstill lost near a harbour", "A meadow..."):
-        assert cut_off(text, "x", True, KNOWN) is not None
-    assert cut_off("A sentence.", "x", True, KNOWN) is None
+def test_long_endings_are_read_whole(spark):
+    """Tags, lines and texts of any length; nothing is looked at by a window of characters."""
+    assert cut_off(f'Text. <a href="{"x" * 5000}', "a", False) == "tag"
+    assert cut_off(f'Text. <img src="{"x" * 5000}" alt="{"y" * 900}', "a", False) == "tag"
+    assert cut_off(f'Text. [url={"x" * 5000}', "a", False) == "tag"
+    assert cut_off(f"Text.\n-- \n{'rusty ' * 900}the", "a", False) == "signature"
+    assert cut_off("the " * 9000 + "mead", "a", False) == "word"
+    assert cut_off("A sentence." + "</p>" * 4000, "a", False) is None
+    assert cut_off("It was 3 < 4, and the meadow was > 5.", "a", False) is None
+    assert cut_off("a <b and then it went on to the end.", "a", False) is None
 
 
 def test_awkward_tables(spark):
@@ -136,14 +167,13 @@ def test_limits_in_two_measures(spark):
 
 
 def test_null_source_knows_all_limits(spark):
-    limits = Limits()
-    for source, measure, value in (("a", "utf8", 90), ("b", "chars", 70), ("b", "html", 120), (None, "chars", 80)):
-        limits.add(source, measure, value)
+    limits = spark.createDataFrame([("a", "utf8", 90), ("b", "chars", 70), ("b", "html", 120), (None, "chars", 80)], "source string, measure string, value int")
     texts = {"utf8": "ä" * 45, "chars": "x" * 70, "html": "&" * 24, "own": "x" * 80, "none": "x" * 75}
     df = spark.createDataFrame([(k, s, t) for k, t in texts.items() for s in ("a", "b", "c", None)], "k string, source string, text string")
-    got = {(r.k, r.source) for r in df.where(limits.reached("text", "source")).collect()}
+    df = df.select("k", "source", *(c.alias(n) for n, c in character_counts(F.col("text")).items()))
+    got = {(r.k, r.source) for r in with_at_limit(df, limits).where("at_limit").collect()}
     assert got == {("utf8", "a"), ("utf8", None), ("chars", "b"), ("chars", None), ("html", "b"), ("html", None), ("own", None)}
-    assert df.where(Limits().reached("text", "source")).count() == 0
+    assert with_at_limit(df, limits.limit(0)).where("at_limit").count() == 0
 
 
 def test_null_source_is_cut_at_the_limit_of_another(spark):
@@ -163,12 +193,11 @@ def test_fragments_before_dots_are_no_words(spark):
     assert found == {1000 + i: "mark" for i in range(10)}
 
 
-def test_no_word_is_between_the_tables():
-    from gridloom.llm.truncation import word_bounds
-
-    for total in (0, 10**6, 10**7, 10**8, 10**10):
-        least, frequent = word_bounds(total)
-        assert least <= frequent
-        known = Endings({"the": (frequent, 0), "meadow": (frequent, frequent)}, {"our"}, set(), set(), frequent)
-        assert known.whole("harbour") and known.whole("meadow") and not known.whole("the")
-    assert word_bounds(10**8) == (300, 300)
+def test_every_word_is_judged_by_its_own_uses(spark):
+    """However large the corpus: no share of all words decides which words are known."""
+    rng = random.Random(12)
+    rows = [(i, "s", post(rng, 8) + " It was at the gantry. The gantry stood there.", "a", "m", 1) for i in range(50)]
+    rows += [(i, "s", f"{post(rng, 2)} The quay of stone {i} was old.", "a", "m", 1) for i in range(50, 110)]
+    rows += [(200, "s", "They waited for long and then came to the gantry", "a", "m", 1), (201, "s", "They waited for long and then came to the quay", "a", "m", 1)]
+    found = {r.doc_id: r.cut for r in find_truncated(spark.createDataFrame(rows, DDL)).where("cut is not null").collect()}
+    assert found == {200: "sentence", 201: "word"}
