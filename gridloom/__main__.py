@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from gridloom import __version__
+
 
 def _tile(s: str) -> tuple[int, ...]:
     return tuple(map(int, s.split(",")))
@@ -16,6 +18,9 @@ def _floats(s: str) -> tuple[float, ...]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gridloom")
+    p.add_argument("-v", "--verbose", dest="log", action="store_true", help="show what Spark logs")
+    p.add_argument("--cpuprofile", help="write a profile of the driver to this file")
+    p.add_argument("--version", action="version", version=f"gridloom {__version__}")
     sub = p.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, inputs: str, out: bool = False, **flags):
@@ -43,11 +48,24 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str]) -> int:
+    a = parser().parse_args(argv)
+    if not a.cpuprofile:
+        return run(a)
+    import cProfile
+
+    with cProfile.Profile() as profile:
+        code = run(a)
+    profile.dump_stats(a.cpuprofile)
+    return code
+
+
+def run(a: argparse.Namespace) -> int:
     from gridloom import verbs
     from gridloom.session import local_session
 
-    a = parser().parse_args(argv)
     spark, i = local_session(), a.inputs
+    if a.log:
+        spark.sparkContext.setLogLevel("INFO")
     if a.verb == "merge":
         verbs.merge(spark, i, a.output, a.tile, a.force)
     elif a.verb == "diff":
@@ -84,7 +102,8 @@ def main(argv: list[str]) -> int:
             print(*r)
         return int(rows > 0)
     elif a.verb == "tags":
-        verbs.tags(spark, i).show(1000, truncate=False)
+        for line in verbs.tag_report(spark, i):
+            print(line)
     elif a.verb == "hash":
         print(verbs.file_digest(spark, i[0], a.ignore_comment, a.ignore_timestamp))
     elif a.verb == "edit":

@@ -35,10 +35,10 @@ def header_lines(h: dict) -> Iterator[str]:
 
 
 def tile_lines(si: int, x: int, y: int, is_water: bool, features: list[dict] | None, low: int, first_way_offset: int = 0) -> Iterator[str]:
-    """``features``: points then ways in zoom order, with tag strings; None for a tile without a body."""
+    """``features``: points then ways in zoom order, with tag strings; None for a tile without a body, which reads like an empty one."""
     yield from ("[[tiles]]", f'id = "{si}/{x}/{y}"', f"si = {si}", f"x = {x}", f"y = {y}", f"is_water = {_value(is_water)}")
     if features is None:
-        yield from ("# no data", "")
+        yield from ("first_way_offset = 0", "")
         return
     yield f"first_way_offset = {first_way_offset}"
     for f in features:

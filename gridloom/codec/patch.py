@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import zstandard
 
@@ -121,19 +122,45 @@ def _full_header(h: dict) -> bytes:
     return MAP_MAGIC + len(body).to_bytes(4, "big") + body
 
 
-def read_patch_file(data: bytes, old_tags: tuple[list[str], list[str]]) -> tuple[dict, list[tuple[int, int, int, int, dict[int, bytes]]]]:
-    """The new header with its dictionaries, and the records (si, x, y, flags, patches)."""
-    r = Reader(data)
+def _head(r: Reader) -> tuple[dict, Reader]:
     if r.take(len(PATCH_MAGIC)) != PATCH_MAGIC:
         raise FormatError("R02", "no change-log file")
     n = r.unsigned()
     head = Reader(r.take(n))
     head.take(len(MAP_MAGIC) + 4)
-    header = read_body(head)
-    header["poi_tags"] = read_tag_diff(r, old_tags[0])
-    header["way_tags"] = read_tag_diff(r, old_tags[1])
-    body = Reader(zstandard.ZstdDecompressor().decompress(r.take(r.unsigned()), max_output_size=1 << 31))
-    records, last = [], (-1, 0, 0)
+    return read_body(head), r
+
+
+def read_patch_header(f: BinaryIO, old_tags: tuple[list[str], list[str]]) -> dict:
+    """The new header with its dictionaries; the records are not unpacked."""
+    header, r = _head(Reader(f.read()))
+    for k, old in zip(("poi_tags", "way_tags"), old_tags):
+        header[k] = read_tag_diff(r, old)
+    return header
+
+
+def patch_records(f: BinaryIO) -> Iterator[tuple[int, int, int, int, dict[int, bytes]]]:
+    """(si, x, y, flags, patches by zoom row) of a change-log file, without its dictionaries."""
+    _, r = _head(Reader(f.read()))
+    for _ in range(2):
+        for _ in range(r.unsigned()):
+            if not r.unsigned():
+                r.take(r.unsigned())
+    yield from _records(r)
+
+
+def read_patch_file(data: bytes, old_tags: tuple[list[str], list[str]]) -> tuple[dict, list[tuple[int, int, int, int, dict[int, bytes]]]]:
+    """The new header with its dictionaries, and the records (si, x, y, flags, patches)."""
+    header, r = _head(Reader(data))
+    for k, old in zip(("poi_tags", "way_tags"), old_tags):
+        header[k] = read_tag_diff(r, old)
+    return header, list(_records(r))
+
+
+def _records(r: Reader) -> Iterator[tuple[int, int, int, int, dict[int, bytes]]]:
+    with zstandard.ZstdDecompressor().stream_reader(bytes(r.take(r.unsigned()))) as stream:  # a stream need not store its size
+        body = Reader(stream.read())
+    last = (-1, 0, 0)
     while (si := body.number(1)) != END_OF_RECORDS:
         dy, dx = body.unsigned(), body.unsigned()
         same_si = si == last[0]
@@ -148,5 +175,4 @@ def read_patch_file(data: bytes, old_tags: tuple[list[str], list[str]]) -> tuple
                     patches[zi] = body.take(body.unsigned())
                 mask >>= 1
                 zi += 1
-        records.append((si, x, y, flags, patches))
-    return header, records
+        yield si, x, y, flags, patches

@@ -71,6 +71,16 @@ def read_tile(data, x: int, y: int, zooms: int, debug: bool = False, light: bool
     return pois, ways
 
 
+def stored_way_offset(data, zooms: int, debug: bool = False) -> int:
+    """Where the ways of a tile start behind its zoom table, as it says itself."""
+    r = Reader(data)
+    if debug:
+        r.take(SIGNATURE_BYTES)
+    for _ in range(2 * zooms):
+        r.unsigned()
+    return r.unsigned()
+
+
 def _write_poi(w: Writer, f: dict) -> None:
     w.signed(f["lat"])
     w.signed(f["lon"])

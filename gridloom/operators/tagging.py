@@ -82,12 +82,17 @@ def tag_diff_decoded(diff: DataFrame, old: DataFrame) -> DataFrame:
     return diff.join(o, ["map_id", "kind", "ref"], "left").select("map_id", "kind", "tag_id", F.coalesce("literal", "__tag").alias("tag"))
 
 
-def split_by_dictionary(features: DataFrame, allowed: DataFrame, by: Sequence[str] = ("map_id",)) -> DataFrame:
-    """Adds ``mapped``: every tag of the feature is in ``allowed`` (by, kind, tag). Features with no tags are mapped."""
-    sets = allowed.groupBy(*by, "kind").agg(F.collect_set("tag").alias("__allowed"))
-    j = features.join(sets, [*by, "kind"], "left")
-    lost = F.size(F.array_except(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("__allowed", F.array().cast("array<string>"))))
-    return j.withColumn("mapped", lost == 0).drop("__allowed")
+def split_by_dictionary(features: DataFrame, own: DataFrame, allowed: DataFrame, by: Sequence[str] = ("map_id",)) -> DataFrame:
+    """Adds ``mapped``: every tag of the feature is in ``allowed``. Features with no tags are mapped.
+
+    ``own`` is the dictionary the features' tags come from (both: by, kind, tag). What it has and
+    ``allowed`` lacks is found dictionary against dictionary, so a feature meets only the lost tags.
+    """
+    keys = [*by, "kind"]
+    lost = own.where("tag is not null").select(*keys, "tag").distinct().join(allowed.select(*keys, "tag"), [*keys, "tag"], "left_anti")
+    sets = lost.groupBy(*keys).agg(F.collect_list("tag").alias("__lost"))
+    j = features.join(sets, keys, "left")
+    return j.withColumn("mapped", ~F.coalesce(F.arrays_overlap("tags", "__lost"), F.lit(False))).drop("__lost")
 
 
 def erased_rows(split: DataFrame, row: Sequence[str]) -> DataFrame:

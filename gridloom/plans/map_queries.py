@@ -223,8 +223,7 @@ def subfile_containing(spark, d):
     return HE.subfile_containing(R.headers(spark, d), 12)
 
 
-@query("tiles_covered_by_inputs", "t gr", """select distinct t.si, t.x, t.y from t where exists (select 1 from gr join zi on gr.map_id = zi.map_id and gr.si = zi.si
- where gr.si = t.si and gr.has_debug and t.x between gr.x0 and gr.x1 and t.y between gr.y0 and gr.y1)""")
+@query("tiles_covered_by_inputs", "t gr", "select distinct t.si, t.x, t.y from t join gr on gr.si = t.si and t.x between gr.x0 and gr.x1 and t.y between gr.y0 and gr.y1")
 def tiles_covered_by_inputs(spark, d):
     grid = HE.grids(R.headers(spark, d)).select("si", "x0", "y0", "x1", "y1").distinct()
     return tiles.covered_by(_delivered(spark, d).select("si", "x", "y").distinct(), grid)
@@ -236,7 +235,7 @@ def single_tile(spark, d):
 
 
 @query("grid_left_fill", "gr t", """, w as (select map_id, si, x, y, bool_and(is_water) is_water from t group by all), g as (select map_id, si, x, unnest(generate_series(y0, y1)) y
- from (select *, unnest(generate_series(x0, x1)) x from gr where si = 0)) select g.map_id, g.si, g.x, g.y, coalesce(w.is_water, false) is_water, w.map_id is not null has_tile
+ from (select *, unnest(generate_series(x0, x1)) x from gr)) select g.map_id, g.si, g.x, g.y, coalesce(w.is_water, false) is_water, w.map_id is not null has_tile
  from g left join w on g.map_id = w.map_id and g.si = w.si and g.x = w.x and g.y = w.y""")
 def grid_left_fill(spark, d):
     g = HE.grid_tiles(HE.grids(R.headers(spark, d)))
@@ -369,7 +368,7 @@ def tag_diff_decode(spark, d):
 
 
 def _split(spark, d):
-    return TG.split_by_dictionary(R.features(spark, d), TG.dictionary(R.headers(spark, d, "map_header_copy")))
+    return TG.split_by_dictionary(R.features(spark, d), *_dictionaries(spark, d))
 
 
 _ALLOWED = ", al as (select map_id, kind, list(distinct tag) tags from dc where tag is not null group by map_id, kind), s as (select f.*, len(list_filter(coalesce(f.tags, []), lambda t: not list_contains(coalesce(al.tags, []), t))) = 0 mapped from f left join al on f.map_id = al.map_id and f.kind = al.kind)\n"
@@ -454,7 +453,7 @@ def way_node_counts(spark, d):
 
 def _ways(spark, d):
     w = table(spark, d, "way").select("map_id", "si", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "zi", "ord", "double_delta", "blocks", "loaded_at")
-    return current_rows(w, ["map_id", "si", "x", "y", "zi", "ord"], "loaded_at", [F.xxhash64("blocks")])
+    return current_rows(w, ["map_id", "si", "x", "y", "zi", "ord"], "loaded_at")
 
 
 def _nodes(spark, d):
@@ -473,9 +472,11 @@ def way_assemble(spark, d):
     return nodes.select(*group, F.array_join(F.transform("nodes", lambda n: n["node"]), ";").alias("nodes"))
 
 
-@query("way_absolute_nodes", "raw", """, b as (select map_id, si, x, y, zi, ord, unnest(blocks) segs, generate_subscripts(blocks, 1) - 1 b from raw where kind = 'way' and not encoding),
- s as (select * exclude segs, unnest(segs) ns, generate_subscripts(segs, 1) - 1 s from b), n as (select * exclude ns, unnest(ns) nd, generate_subscripts(ns, 1) - 1 i from s)
- select map_id, si, x, y, zi, ord, b::int b, s::int s, i::int i, cast(sum(nd[1]) over w as bigint) lat, cast(sum(nd[2]) over w as bigint) lon from n window w as (partition by map_id, si, x, y, zi, ord, b, s order by i)""")
+@query("way_absolute_nodes", "raw", """, b as (select map_id, si, x, y, zi, ord, coalesce(encoding, false) twice, unnest(blocks) segs, generate_subscripts(blocks, 1) - 1 b from raw where kind = 'way'),
+ s as (select * exclude segs, unnest(segs) ns, generate_subscripts(segs, 1) - 1 s from b), n as (select * exclude ns, unnest(ns) nd, generate_subscripts(ns, 1) - 1 i from s),
+ d as (select *, case when twice and i > 0 then sum(case when twice and i > 0 then nd[1] end) over w else nd[1] end dlat, case when twice and i > 0 then sum(case when twice and i > 0 then nd[2] end) over w else nd[2] end dlon
+  from n window w as (partition by map_id, si, x, y, zi, ord, b, s order by i))
+ select map_id, si, x, y, zi, ord, b::int b, s::int s, i::int i, cast(sum(dlat) over w as bigint) lat, cast(sum(dlon) over w as bigint) lon from d window w as (partition by map_id, si, x, y, zi, ord, b, s order by i)""")
 def way_absolute_nodes(spark, d):
     return FE.absolute_nodes(_nodes(spark, d)).drop("double_delta", "dlat", "dlon")
 
@@ -564,32 +565,6 @@ def delta_rows(spark, d):
     return log.groupBy("map_id", "version", "si", "x", "y", "zoom", "kind", sign.alias("s")).agg(F.sum("net").alias("net")).drop("s")
 
 
-def _delivery(f: DataFrame) -> DataFrame:
-    return f.withColumn("map_id", F.concat_ws("#", "map_id", "version"))
-
-
-@query("apply_single", "ec", "select map_id || '#' || version as map_id, si, x, y, zoom, kind, count(*)::bigint n, count(distinct v)::bigint n_distinct from ec group by all")
-def apply_single(spark, d):
-    """The first copy with the change log applied is the second copy."""
-    a, b = (_delivery(R.snapshot_features(t)) for t in _versions(spark, d))
-    return C.apply_logs(a, C.change_log(a, b)).groupBy("map_id", "si", "x", "y", "zoom", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
-
-
-@query("apply_chain", "e", """select e.map_id, si, x, y, zoom, kind, count(*)::bigint n, count(distinct v)::bigint n_distinct from e
- join (select map_id, max(version) version from t group by map_id) m on e.map_id = m.map_id and e.version = m.version group by all""")
-def apply_chain(spark, d):
-    """Each map's first delivery with the logs of all later steps applied is its last delivery."""
-    from gridloom.operators.snapshots import snapshot_steps
-
-    t = _delivered(spark, d)
-    f = R.snapshot_features(t)
-    steps = snapshot_steps(t, ["map_id"], "version")
-    base = f.join(steps.where("__prev is null").select("map_id", "version"), ["map_id", "version"], "left_semi")
-    new = f.join(steps.where("__prev is not null").select("map_id", "version"), ["map_id", "version"], "left_semi")
-    old = f.join(steps.where("__next is not null").select("map_id", "version", "__next"), ["map_id", "version"]).withColumn("version", F.col("__next")).drop("__next")
-    return C.apply_logs(base, C.change_log(old, new, ["version"])).groupBy("map_id", "si", "x", "y", "zoom", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
-
-
 @query("latest_version_per_tile_zoom", "e", "select map_id, si, x, y, zoom, max(version)::int as version from e group by map_id, si, x, y, zoom")
 def latest_version_per_tile_zoom(spark, d):
     return C.latest(R.snapshot_features(_delivered(spark, d)), ["map_id", "si", "x", "y", "zoom"], "version")
@@ -620,10 +595,17 @@ def merge_water_flag(spark, d):
 # -- validation ----------------------------------------------------------------------------------
 
 
-@query("validate_headers", "h zi", """select map_id, 'R03' rule, null::int si, null::int x, null::int y, concat_ws(',', min_lat, min_lon, max_lat, max_lon) detail from h where min_lat > max_lat or min_lon > max_lon
-union all select map_id, 'R04', si, null, null, concat_ws(',', base, min, max) from zi where min > base or base > max""")
+@query("validate_headers", "h zi", """, g as (select map_id, case when start_zoom is null then max_lat else min_lat end min_lat, min_lon, case when start_zoom is null then min_lat else max_lat end max_lat, max_lon from h),
+ y as (select map_id, si, case when si = 1 then max + 1 else base end base, min, max from zi)
+select map_id, 'R03' rule, null::int si, null::int x, null::int y, concat_ws(',', min_lat, min_lon, max_lat, max_lon) detail from g where min_lat > max_lat or min_lon > max_lon
+union all select map_id, 'R04', si, null, null, concat_ws(',', base, min, max) from y where min > base or base > max""")
 def validate_headers(spark, d):
-    return validation.header_violations(R.headers(spark, d))
+    """Headers broken on purpose, as the tables hold none: boxes upside down where no start zoom is set, a base zoom past its levels."""
+    h = R.headers(spark, d)
+    down = F.col("start_zoom").isNull()
+    broken = F.transform("zoom_intervals", lambda z: F.when(z["si"] == 1, z.withField("base", z["max"] + 1)).otherwise(z))
+    h = h.select("map_id", "min_lon", "max_lon", F.when(down, F.col("max_lat")).otherwise(F.col("min_lat")).alias("min_lat"), F.when(down, F.col("min_lat")).otherwise(F.col("max_lat")).alias("max_lat"), broken.alias("zoom_intervals"))
+    return validation.header_violations(h)
 
 
 @query("validate_offsets", "t", """, o as (select map_id || '#' || version as map_id, si, x, y, first_way_offset "offset" from
@@ -638,13 +620,14 @@ def validate_offsets(spark, d):
 
 
 @query("validate_features", "raw h", """, n as (select map_id, 'poi' kind, len(poi_tags) n from h union all select map_id, 'way', len(way_tags) from h), j as (select raw.*, coalesce(n.n, 0) n from raw left join n on raw.map_id = n.map_id and raw.kind = n.kind)
- select map_id, case kind when 'poi' then 'R17' else 'R18' end rule, si, x, y, layer::varchar detail from j where layer not between -5 and 5
+ select map_id, case kind when 'poi' then 'R17' else 'R18' end rule, si, x, y, (2 * layer)::varchar detail from j where 2 * layer not between -5 and 5
  union all select map_id, case kind when 'poi' then 'R19' else 'R20' end, si, x, y, t::varchar from (select *, unnest(ids) t from j) where t is not null and (t < 0 or t >= n)""")
 def validate_features(spark, d):
+    """The feature rules; layers are doubled, as the tables hold none out of range."""
     parts = [table(spark, d, k).select(F.lit(k).alias("kind"), "map_id", "si", "tile_x", "tile_y", "zi", "ord", "layer", "tags", "loaded_at") for k in ("poi", "way")]
-    now = current_rows(parts[0].unionByName(parts[1]), ["kind", "map_id", "si", "tile_x", "tile_y", "zi", "ord"], "loaded_at", [F.xxhash64("tags", "layer")])
+    now = current_rows(parts[0].unionByName(parts[1]), ["kind", "map_id", "si", "tile_x", "tile_y", "zi", "ord"], "loaded_at")
     sizes = R.headers(spark, d).select("map_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.size(f"{k}_tags").alias("n_tags")) for k in ("poi", "way")))))
-    raw = now.join(sizes, ["map_id", "kind"], "left").select("map_id", "kind", "si", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "layer", F.col("tags").alias("tag_ids"), "n_tags")
+    raw = now.join(sizes, ["map_id", "kind"], "left").select("map_id", "kind", "si", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), (2 * F.col("layer")).alias("layer"), F.col("tags").alias("tag_ids"), "n_tags")
     return validation.feature_violations(raw)
 
 

@@ -19,7 +19,7 @@ def _feature_columns(given: dict[str, Column]) -> list[Column]:
 def headers(spark: SparkSession, sf_dir: str, name: str = "map_header") -> DataFrame:
     """The current header of each map."""
     h = table(spark, sf_dir, name)
-    now = current_rows(h, ["map_id"], "written_at", [F.xxhash64("header_comment", "poi_tags", "way_tags")])
+    now = current_rows(h, ["map_id"], "written_at")
     intervals = F.transform(
         "zoom_intervals",
         lambda z: F.struct(
@@ -42,7 +42,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = {"poi": ["lat_diff", "lon_diff", "elevation"], "way": ["sub_tile_bitmap", "reference", "label_lat", "label_lon", "double_delta", "blocks"]}
     parts = [table(spark, sf_dir, k).select(F.lit(k).alias("kind"), *common, *own[k]) for k in own]
     raw = parts[0].unionByName(parts[1], allowMissingColumns=True)
-    now = current_rows(raw, ["kind", *FEATURE_KEY], "loaded_at", [F.xxhash64("tags", "feat_name", "house_number", "layer")])
+    now = current_rows(raw, ["kind", *FEATURE_KEY], "loaded_at")
     j = now.join(dicts, (F.col("map_id") == F.col("__map")) & (F.col("kind") == F.col("__kind")), "left")
     tags = F.array_compact(F.transform("tags", lambda t: F.get("__dict", t.try_cast("int"))))
     lowest = F.filter("__zi", lambda z: z["si"] == F.col("si"))[0]["min"]
@@ -56,7 +56,7 @@ def snapshot_tiles(spark: SparkSession, sf_dir: str, name: str = "tile_snapshot"
     """The current tiles of each delivery: map_id, version, si, x, y, is_water and the nested features."""
     df = table(spark, sf_dir, name)
     df = df.withColumn("map_id", folded("map_id"))
-    now = current_rows(df, TILE_KEY, "delivered_at", [F.xxhash64("pois", "ways")])
+    now = current_rows(df, TILE_KEY, "delivered_at")
     return now.select("map_id", F.col("snap_no").alias("version"), "si", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "is_water", "first_way_offset", "pois", "ways")
 
 

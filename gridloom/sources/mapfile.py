@@ -22,6 +22,13 @@ def guard(path: str, force: bool) -> None:
         raise FileExistsError(f"{path} exists; pass force to replace it")
 
 
+def tile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(si, x, y, is_water, bytes) as a batch."""
+    types = dict(si=pa.int32(), x=pa.int32(), y=pa.int32(), is_water=pa.bool_(), bytes=pa.binary())
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
 def encode_tiles(features: DataFrame, header: dict) -> DataFrame:
     """si, x, y, bytes: one row per tile with features. Dictionaries are at most 65,535 strings each by the format."""
     ids = {k: {t: i for i, t in reversed(list(enumerate(header[f"{k}_tags"])))} for k in ("poi", "way")}
@@ -32,6 +39,7 @@ def encode_tiles(features: DataFrame, header: dict) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag_ids, ranges, signed = facts.value
         for b in batches:
+            bodies = []
             for si, x, y, rows in zip(*(c.to_pylist() for c in b.columns)):
                 low, high = ranges[si]
                 parts = {"poi": [[] for _ in range(high - low + 1)], "way": [[] for _ in range(high - low + 1)]}
@@ -39,7 +47,8 @@ def encode_tiles(features: DataFrame, header: dict) -> DataFrame:
                     parts[f["kind"]][f["zoom"] - low].append({**f, "tags": [tag_ids[f["kind"]][t] for t in f["tags"] or []]})
                 sorted_rows = [normalised(p, w) for p, w in zip(parts["poi"], parts["way"])]
                 body = write_tile([p for p, _ in sorted_rows], [w for _, w in sorted_rows], x, y, signed)
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (si, x, y)] + [pa.array([body], pa.binary())], names=["si", "x", "y", "bytes"])
+                bodies.append(body)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.binary())], names=["si", "x", "y", "bytes"])
 
     value = [c for c in FEATURE_COLUMNS if c not in ("map_id", "si", "x", "y")]
     grouped = features.groupBy("si", "x", "y").agg(F.collect_list(F.struct(*value)).alias("rows"))

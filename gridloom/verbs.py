@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,14 @@ from gridloom.codec import dump as text
 from gridloom.codec import fingerprint
 from gridloom.codec.binary import FormatError
 from gridloom.codec.header import grid_of
-from gridloom.codec.patch import EMPTY, WATER, decode, encode, read_patch_file, write_patch_file
-from gridloom.codec.tile import normalised, read_blob, read_tile, remapped, tile_violations, write_blob, write_tile
+from gridloom.codec.patch import EMPTY, WATER, decode, encode, patch_records, read_patch_header, write_patch_file
+from gridloom.codec.tile import normalised, read_blob, read_tile, remapped, stored_way_offset, tile_violations, write_blob, write_tile
 from gridloom.operators import changes, merging, tagging
 from gridloom.operators import features as fe
 from gridloom.operators import headers as he
-from gridloom.sources.mapfile import encode_tiles, guard, write_map_file
-from gridloom.sources.tilemap import files_of, index_entries, load_header, map_id_of, map_ids, read_part
+from gridloom.session import cut_lineage
+from gridloom.sources.mapfile import encode_tiles, guard, tile_batch, write_map_file
+from gridloom.sources.tilemap import STRETCH, files_of, index_entries, load_header, map_id_of, map_ids, read_part
 
 
 @dataclass
@@ -56,7 +58,9 @@ def merge(spark: SparkSession, inputs: Sequence[str], out: str, tile: tuple[int,
 
     Header fields and zoom intervals come from the first input, the box is the union of the inputs
     with data, a tile is water if every input covering it says so. Inputs pair their intervals by base
-    zoom; one without counterpart in the first input is an error, as its tiles have another grid.
+    zoom. For an interval of the result that an input lacks, the input's interval that contains its base
+    zoom gives the tiles of the same coordinates, cut to the zoom levels both have; grids of different
+    base zooms differ, so only tiles of such a map that lie in the result's grid take part.
     """
     if len(inputs) < 2:
         raise ValueError("merge needs at least two maps")
@@ -69,10 +73,7 @@ def merge(spark: SparkSession, inputs: Sequence[str], out: str, tile: tuple[int,
     pairs = []  # (map, its si, si of the result, minimum zoom, maximum zoom)
     for p, h in zip(inputs, heads):
         for z in h["zoom_intervals"]:
-            match = [f for f in first["zoom_intervals"] if f["base"] == z["base"]]
-            if not match:
-                raise ValueError(f"{p}: no interval of the first map has base zoom {z['base']}")
-            pairs.append((ids[p], z["si"], match[0]["si"], match[0]["min"], match[0]["max"]))
+            pairs += [(ids[p], z["si"], f["si"], f["min"], f["max"]) for f in first["zoom_intervals"] if _source_interval(h, f["base"]) == z["si"]]
     m = read_map(spark, inputs)
     to = spark.createDataFrame(pairs, "map_id string, si int, to_si int, low int, high int")  # intervals of the inputs
     features = m.feature.join(F.broadcast(to), ["map_id", "si"]).where("zoom between low and high").withColumn("si", F.col("to_si"))
@@ -92,6 +93,13 @@ def merge(spark: SparkSession, inputs: Sequence[str], out: str, tile: tuple[int,
     return write_map_file(header, tiles, out, force)
 
 
+def _source_interval(h: dict, base: int) -> int | None:
+    """The first interval of a map with this base zoom, else the first one whose levels contain it."""
+    same = [z["si"] for z in h["zoom_intervals"] if z["base"] == base]
+    around = [z["si"] for z in h["zoom_intervals"] if z["min"] <= base <= z["max"]]
+    return (same or around or [None])[0]
+
+
 def _box_of(bbox: Sequence[float] | None, center: Sequence[float] | None, distance: float | None, spark: SparkSession) -> tuple[int, int, int, int]:
     """The region in micro-degrees, from a box (min_lon, min_lat, max_lon, max_lat) or a centre (lat, lon) and kilometres."""
     from gridloom.functions import mercator as m
@@ -172,6 +180,23 @@ def tags(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return stats.join(tagging.zoom_pivot(counts, zooms), ["kind", "tag"], "left").fillna(0).orderBy("kind", "tag")
 
 
+def tag_report(spark: SparkSession, paths: str | Sequence[str], repeat: int = 20) -> Iterator[str]:
+    """The statistics as lines: points, then ways, by tag; counts rounded down to one significant digit, the heading again every ``repeat`` rows."""
+    found = tags(spark, paths)
+    zooms = [c for c in found.columns if c.startswith("z")]
+    shown = found.select("kind", "tag", "appear", *(tagging.rounded(F.col(c)).alias(c) for c in ("count", *zooms))).orderBy("kind", "tag")
+    heading = "\t".join(["tag", "appear", "count", *zooms])
+    kind, at = None, 0
+    for r in shown.toLocalIterator(prefetchPartitions=True):
+        if r.kind != kind:
+            kind, at = r.kind, 0
+            yield f"# {kind}"
+        if at % repeat == 0:
+            yield heading
+        at += 1
+        yield "\t".join([r.tag, "-" if r.appear == tagging.UNUSED else str(r.appear), str(r["count"]), *(str(r[z] or "") for z in zooms)])
+
+
 def semantic_hash(spark: SparkSession, path: str, ignore_comment: bool = False, ignore_timestamp: bool = False) -> str:
     """Equal for maps that say the same, whatever their dictionaries and orders of tags and features."""
     m = read_map(spark, path)
@@ -219,19 +244,41 @@ def file_digest(spark: SparkSession, path: str, ignore_comment: bool = False, ig
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:
-    """One row per violation; header and index rules are found on the driver, tile rules by the tasks."""
-    rows, checked = [], []
+    """One row per violation; header rules are found on the driver, index and tile rules by the tasks.
+
+    The index is checked stretch by stretch, each of which tells its first fault. The tiles of an interval
+    whose index is broken cannot be found, so those are read only where the index holds.
+    """
+    rows, heads, stretches = [], {}, []
     for p in files_of(path):
         try:
-            h = load_header(p)
+            heads[p] = h = load_header(p)
             for z in h["zoom_intervals"]:
                 x0, y0, x1, y1 = grid_of(h, z)
-                for _ in index_entries(p, h, z, 0, (x1 - x0 + 1) * (y1 - y0 + 1)):
-                    pass
-            checked.append((p, h))
+                n = (x1 - x0 + 1) * (y1 - y0 + 1)
+                stretches += [(p, z["si"], i, min(i + STRETCH, n)) for i in range(0, n, STRETCH)]
         except FormatError as e:
+            heads.pop(p, None)
             rows.append((map_id_of(p), e.rule, None, None, None, str(e)))
-    found = spark.createDataFrame(rows, schemas.VIOLATION)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, si, start, stop in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    h = load_header(p)
+                    for _ in index_entries(p, h, h["zoom_intervals"][si], start, stop):
+                        pass
+                except FormatError as e:
+                    out.append((map_id_of(p), e.rule, si, None, None, str(e), p))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
+
+    schema = pa.schema([(n, pa.int32() if n in ("si", "x", "y") else pa.string()) for n in ("map_id", "rule", "si", "x", "y", "detail", "path")])
+    stretch = spark.createDataFrame(stretches, "path string, si int, start bigint, stop bigint").repartition(max(1, min(len(stretches), 4 * spark.sparkContext.defaultParallelism)))
+    index = cut_lineage(stretch.mapInArrow(walk, schemas.VIOLATION + ", path string"))
+    broken = {(r.path, r.si) for r in index.select("path", "si").distinct().collect()}  # at most one per interval of a file
+    found = spark.createDataFrame(rows, schemas.VIOLATION).unionByName(index.drop("path"))
+    checked = [(p, h) for p, h in heads.items() if not any((p, z["si"]) in broken for z in h["zoom_intervals"])]
     for p, h in checked:
         facts = ({z["si"]: z["max"] - z["min"] + 1 for z in h["zoom_intervals"]}, h["has_debug"], len(h["poi_tags"]), len(h["way_tags"]))
 
@@ -264,14 +311,16 @@ def dump(spark: SparkSession, path: str, header: bool = False, all: bool = False
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            made = []
             for si, x, y, water, body in zip(*(c.to_pylist() for c in b.columns)):
                 z = h["zoom_intervals"][si]
-                rows = None
+                rows, offset = None, 0
                 if body:
+                    offset = stored_way_offset(body, z["max"] - z["min"] + 1, h["has_debug"])
                     pois, ways = read_tile(body, x, y, z["max"] - z["min"] + 1, h["has_debug"])
                     rows = [{**f, "kind": k, "zoom": z["min"] + zi, "tags": [h[f"{k}_tags"][t] for t in f["tags"]]} for k, part in (("poi", pois), ("way", ways)) for zi, row in enumerate(part) for f in row]
-                content = "\n".join(text.tile_lines(si, x, y, bool(water), rows, z["min"]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (si, x, y)] + [pa.array([content])], names=["si", "x", "y", "text"])
+                made.append("\n".join(text.tile_lines(si, x, y, bool(water), rows, z["min"], offset)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.string())], names=["si", "x", "y", "text"])
 
     out = raw.select("si", "x", "y", "is_water", "bytes").mapInArrow(lines, "si int, x int, y int, text string")
     for r in out.orderBy("si", "x", "y").select("text").toLocalIterator():
@@ -294,6 +343,7 @@ def load(spark: SparkSession, path: str, out: str, force: bool = False) -> dict:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            made = []
             for section in b.column(0).to_pylist():
                 _, tiles = text.read_dump(["[[tiles]]", *section.split("\n")])
                 t = tiles[0]
@@ -306,7 +356,8 @@ def load(spark: SparkSession, path: str, out: str, force: bool = False) -> dict:
                         known = [ids[f["kind"]][s] for s in f["tags"] if s in ids[f["kind"]]]
                         parts[f["kind"]][f["zi_index"]].append({**blank, **f, "tags": sorted(known)})
                     body = write_tile(parts["poi"], parts["way"], t["x"], t["y"], h["has_debug"])
-                yield pa.RecordBatch.from_arrays([pa.array([t[k]], pa.int32()) for k in ("si", "x", "y")] + [pa.array([t["is_water"]]), pa.array([body], pa.binary())], names=["si", "x", "y", "is_water", "bytes"])
+                made.append((t["si"], t["x"], t["y"], t["is_water"], body))
+            yield tile_batch(made)
 
     tiles = sections.mapInArrow(parse, "si int, x int, y int, is_water boolean, bytes binary")
     return write_map_file(h, tiles, out, force)
@@ -315,11 +366,23 @@ def load(spark: SparkSession, path: str, out: str, force: bool = False) -> dict:
 # -- delta and apply --------------------------------------------------------------------------------
 
 
-def _id_map(old: list[str], new: list[str]) -> list[int | None]:
+def id_map(old: list[str], new: list[str]) -> list[int | None]:
     at = {t: i for i, t in enumerate(new)}
     return [at.get(t) for t in old]
 
 
+def zoom_patches(before: dict[int, tuple[list, list]], after: dict[int, tuple[list, list]], moves: Sequence[list[int | None]], zooms: Sequence[int]) -> dict[int, bytes]:
+    """The patch of each zoom row that differs, against its former state under the new dictionaries."""
+    patches = {}
+    for zoom in zooms:
+        p, w = before.get(zoom, ([], []))
+        reference = write_blob(*normalised(remapped(p, moves[0]), remapped(w, moves[1])))
+        target = write_blob(*normalised(*after.get(zoom, ([], []))))
+        if reference != target:
+            patches[zoom] = encode(target, reference)
+    return patches
+
+
 def delta(spark: SparkSession, old: str, new: str, out: str, force: bool = False) -> int:
     """The change log from old to new; returns the number of changed tiles.
 
@@ -328,7 +391,7 @@ def delta(spark: SparkSession, old: str, new: str, out: str, force: bool = False
     """
     guard(out, force)
     h1, h2 = load_header(old), load_header(new)
-    maps = {k: _id_map(h1[f"{k}_tags"], h2[f"{k}_tags"]) for k in ("poi", "way")}
+    maps = {k: id_map(h1[f"{k}_tags"], h2[f"{k}_tags"]) for k in ("poi", "way")}
     same_ids = all(h1[f"{k}_tags"] == h2[f"{k}_tags"] for k in maps) and h1["has_debug"] == h2["has_debug"]
     shapes = [{z["si"]: (z["base"], z["min"], z["max"]) for z in h["zoom_intervals"]} for h in (h1, h2)]
     a = read_part(spark, old, "tile_raw").select("si", "x", "y", F.col("is_water").alias("w1"), F.col("bytes").alias("b1"))
@@ -346,24 +409,19 @@ def delta(spark: SparkSession, old: str, new: str, out: str, force: bool = False
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made = []
             for si, x, y, w1, b1, w2, b2 in zip(*(c.to_pylist() for c in batch.columns)):
                 base, low, high = shapes[1][si]
                 paired = si in shapes[0] and shapes[0][si][0] == base
                 before = rows_of(b1, si, x, y, h1, shapes[0]) if paired else {}
                 after = rows_of(b2, si, x, y, h2, shapes[1])
                 filled = any(p or w for p, w in after.values())
-                patches = {}
-                for zoom in range(low, high + 1):
-                    p, w = before.get(zoom, ([], []))
-                    reference = write_blob(*normalised(remapped(p, maps["poi"]), remapped(w, maps["way"])))
-                    target = write_blob(*normalised(*after.get(zoom, ([], []))))
-                    if reference != target:
-                        patches[zoom - low] = encode(target, reference)
+                patches = {z - low: p for z, p in zoom_patches(before, after, (maps["poi"], maps["way"]), range(low, high + 1)).items()}
                 if not patches and bool(w1) == bool(w2):
                     continue
                 flags = (WATER if w2 else 0) | (0 if filled else EMPTY)
-                row = {"si": si, "x": x, "y": y, "flags": flags, "patches": [] if flags & EMPTY else list(patches.items())}
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                made.append({"si": si, "x": x, "y": y, "flags": flags, "patches": [] if flags & EMPTY else list(patches.items())})
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     arrow = pa.schema([("si", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("flags", pa.int32()), ("patches", pa.map_(pa.int32(), pa.binary()))])
     made = pairs.select("si", "x", "y", "w1", "b1", "w2", "b2").mapInArrow(records, "si int, x int, y int, flags int, patches map<int, binary>")
@@ -374,6 +432,40 @@ def delta(spark: SparkSession, old: str, new: str, out: str, force: bool = False
     return len(kept)
 
 
+def folded_tile(vs: list[tuple], moves: list, si: int, x: int, y: int, water: bool, body: bytes | None, steps: dict[int, tuple[int, dict[int, bytes]]]) -> tuple[bool, list[tuple[list, list]] | None]:
+    """The water flag and zoom rows of a tile after all versions; no rows where the last one has no such interval.
+
+    ``vs``: per version the two dictionaries, (base, min, max, grid) by interval and whether it is a
+    debug map; ``moves``: the id maps from each version to the next; ``steps``: (flags, patches by zoom
+    row) by version.
+    """
+    state: dict[int, tuple[list, list]] = {}
+    shape = vs[0][2].get(si)
+    if body is not None:
+        _, low, high, _ = shape
+        pois, ways = read_tile(body, x, y, high - low + 1, vs[0][3])
+        state = {low + i: pw for i, pw in enumerate(zip(pois, ways))}
+    for v in range(1, len(vs)):
+        before, shape = shape, vs[v][2].get(si)
+        if shape is None or before is None or before[0] != shape[0] or not (shape[3][0] <= x <= shape[3][2] and shape[3][1] <= y <= shape[3][3]):
+            state, water = {}, False
+        else:
+            poi_ids, way_ids = moves[v - 1]
+            state = {z: (remapped(p, poi_ids), remapped(w, way_ids)) for z, (p, w) in state.items() if shape[1] <= z <= shape[2]}
+        if v in steps and shape is not None:
+            flags, patches = steps[v]
+            water = bool(flags & WATER)
+            if flags & EMPTY:
+                state = {}
+            else:
+                for zi, patch in patches.items():
+                    zoom = shape[1] + zi
+                    state[zoom] = read_blob(decode(patch, write_blob(*normalised(*state.get(zoom, ([], []))))))
+    if shape is None:
+        return False, None
+    return bool(water), [state.get(z, ([], [])) for z in range(shape[1], shape[2] + 1)]
+
+
 def apply(spark: SparkSession, base: str, deltas: Sequence[str], out: str, force: bool = False) -> dict:
     """The map after all change logs, folded per tile in one pass.
 
@@ -383,57 +475,50 @@ def apply(spark: SparkSession, base: str, deltas: Sequence[str], out: str, force
     """
     guard(out, force)
     heads = [load_header(base)]
-    rows = []
-    for n, path in enumerate(deltas, 1):
+    for path in deltas:  # headers and dictionaries only: each tag diff needs the dictionary before it
         with open(path, "rb") as f:
-            h, records = read_patch_file(f.read(), (heads[-1]["poi_tags"], heads[-1]["way_tags"]))
-        heads.append(h)
-        rows += [(si, x, y, n, flags, p) for si, x, y, flags, p in records]
+            heads.append(read_patch_header(f, (heads[-1]["poi_tags"], heads[-1]["way_tags"])))
     versions = []
     for h in heads:
         grids = {z["si"]: (z["base"], z["min"], z["max"], grid_of(h, z)) for z in h["zoom_intervals"]}
         versions.append((h["poi_tags"], h["way_tags"], grids, h["has_debug"]))
     last = heads[-1]
     facts = spark.sparkContext.broadcast(versions)  # dictionaries and intervals: bounded by the format
-    change = spark.createDataFrame(rows, "si int, x int, y int, version int, flags int, patches map<int, binary>")
-    grouped = change.groupBy("si", "x", "y").agg(F.collect_list(F.struct("version", "flags", "patches")).alias("log"))
+    logs = spark.createDataFrame(list(enumerate(deltas, 1)), "version int, path string").repartition(max(1, len(deltas)), "version")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for version, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with open(path, "rb") as f:
+                    stream = patch_records(f)
+                    while some := list(islice(stream, 2000)):
+                        rows = [{"si": si, "x": x, "y": y, "version": version, "flags": flags, "zi": zi, "patch": p} for si, x, y, flags, patches in some for zi, p in (patches.items() or [(None, None)])]
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    arrow = pa.schema([(n, pa.binary() if n == "patch" else pa.int32()) for n in ("si", "x", "y", "version", "flags", "zi", "patch")])
+    change = logs.mapInArrow(records, "si int, x int, y int, version int, flags int, zi int, patch binary")
+    # per tile at most one row per version and zoom row: bounded by the format and the length of the chain
+    grouped = change.groupBy("si", "x", "y").agg(F.collect_list(F.struct("version", "flags", "zi", "patch")).alias("log"))
     raw = read_part(spark, base, "tile_raw").select("si", "x", "y", "is_water", "bytes")
     joined = raw.join(grouped, ["si", "x", "y"], "full_outer").select("si", "x", "y", "is_water", "bytes", "log")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vs = facts.value
-        moves = [[_id_map(a[i], b[i]) for i in (0, 1)] for a, b in zip(vs, vs[1:])]
+        moves = [[id_map(a[i], b[i]) for i in (0, 1)] for a, b in zip(vs, vs[1:])]
         for batch in batches:
+            made = []
             for si, x, y, water, body, log in zip(*(c.to_pylist() for c in batch.columns)):
-                steps = {r["version"]: r for r in log or []}
-                state: dict[int, tuple[list, list]] = {}
-                if body is not None:
-                    _, low, high, _ = vs[0][2][si]
-                    pois, ways = read_tile(body, x, y, high - low + 1, vs[0][3])
-                    state = {low + i: pw for i, pw in enumerate(zip(pois, ways))}
-                shape = vs[0][2].get(si)
-                for v in range(1, len(vs)):
-                    before, shape = shape, vs[v][2].get(si)
-                    if shape is None or before is None or before[0] != shape[0] or not (shape[3][0] <= x <= shape[3][2] and shape[3][1] <= y <= shape[3][3]):
-                        state, water = {}, False
-                    else:
-                        poi_ids, way_ids = moves[v - 1]
-                        state = {z: (remapped(p, poi_ids), remapped(w, way_ids)) for z, (p, w) in state.items() if shape[1] <= z <= shape[2]}
-                    if v in steps:
-                        flags = steps[v]["flags"]
-                        water = bool(flags & WATER)
-                        if flags & EMPTY:
-                            state = {}
-                        else:
-                            for zi, patch in dict(steps[v]["patches"]).items():
-                                zoom = shape[1] + zi
-                                state[zoom] = read_blob(decode(patch, write_blob(*normalised(*state.get(zoom, ([], []))))))
-                if shape is None:
+                steps = {}
+                for r in log or []:
+                    flags, patches = steps.setdefault(r["version"], (r["flags"], {}))
+                    if r["zi"] is not None:
+                        patches[r["zi"]] = r["patch"]
+                water, parts = folded_tile(vs, moves, si, x, y, water, body, steps)
+                if parts is None:
                     continue
-                parts = [state.get(z, ([], [])) for z in range(shape[1], shape[2] + 1)]
                 filled = any(p or w for p, w in parts)
-                new = write_tile([p for p, _ in parts], [w for _, w in parts], x, y, vs[-1][3]) if filled else None
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()) for c in (si, x, y)] + [pa.array([bool(water)]), pa.array([new], pa.binary())], names=["si", "x", "y", "is_water", "bytes"])
+                made.append((si, x, y, bool(water), write_tile([p for p, _ in parts], [w for _, w in parts], x, y, vs[-1][3]) if filled else None))
+            yield tile_batch(made)
 
     tiles = joined.mapInArrow(fold, "si int, x int, y int, is_water boolean, bytes binary")
     return write_map_file(last, tiles, out, force)
