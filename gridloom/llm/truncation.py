@@ -396,7 +396,7 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     words = read.where("what = 'w'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
     shapes = read.where("what = 'k'").groupBy(F.col("word").alias("asked")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, totals.get("k", 0) / 500)).select("asked")
     ends = read.where("what = 'd'").drop("what", "n", "n_final")
-    ends = with_at_limit(ends, piles_of(ends.where("c_chars is not null")))
+    ends = with_at_limit(ends, cut_lineage(piles_of(ends.where("c_chars is not null"))))  # a row per limit
     sure = F.col("rule").isin("ok") | F.col("rule").startswith("cut ")
     asks = ends.where(~sure)
     facts = closing_lines(ends, words, totals.get("d", 0)).unionByName(shapes).select(F.col("asked").alias("__asked"), F.lit(True).alias("__known"))
