@@ -142,7 +142,7 @@ class ItemIndex:
     search: Search
     own: dict[int, list[str]]
     words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of all items' words
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of neighbours in it
+    runs: list[np.ndarray] = field(default_factory=list)  # hashes of two and of three words in a row
     item_of: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # bitmap, hashes, places in words
     first: dict[int, int] = field(default_factory=dict)  # where an item's words begin
@@ -164,7 +164,7 @@ class ItemIndex:
         if own:
             h = index.words = np.array(flat + [0] * search.window, np.uint64)
             index.item_of = np.concatenate(items)
-            index.pairs = _runs(h, 2)
+            index.runs = [_runs(h, k) for k in (2, 3)]
             s = np.concatenate(starts)
             for _, hs in window_hashes(h, s, search):
                 order = np.argsort(hs, kind="stable")
@@ -176,8 +176,8 @@ class ItemIndex:
     def hashed(self, item: int) -> np.ndarray:
         return self.words[self.first[item] : self.first[item] + len(self.own[item])]
 
-    def pairs_of(self, item: int) -> np.ndarray:
-        return self.pairs[self.first[item] : self.first[item] + len(self.own[item]) - 1]
+    def runs_of(self, item: int, k: int) -> np.ndarray:
+        return self.runs[k - 2][self.first[item] : self.first[item] + len(self.own[item]) - k + 1]
 
     def candidates(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of window pairs that share a hash, without repetitions."""
@@ -219,13 +219,13 @@ def _among(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
     return pool[np.minimum(np.searchsorted(pool, x), pool.size - 1)] == x
 
 
-def may_be_case(item_pairs: np.ndarray, text_pairs: np.ndarray, search: Search, enough: int) -> bool:
-    """False only where the item has too few pairs of neighbouring words in common with the text.
+def may_be_case(item_runs: np.ndarray, text_runs: np.ndarray, k: int, search: Search, enough: int) -> bool:
+    """False only where the item has too few runs of k words in common with the text.
 
-    A passage of n words has n - 1 such pairs, and an edit takes away at most two of them.
-    ``text_pairs`` are sorted.
+    A passage of n words has n - k + 1 runs, and an edit takes away at most k of them.
+    ``text_runs`` are sorted.
     """
-    return np.count_nonzero(_among(item_pairs, text_pairs)) >= enough - 2 * enough / search.words_per_edit - search.passages
+    return np.count_nonzero(_among(item_runs, text_runs)) >= enough - k * enough / search.words_per_edit - (k - 1) * search.passages
 
 
 def _offsets(item: np.ndarray, text: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
@@ -419,13 +419,13 @@ def leaked(docs: Iterable[tuple[object, str | None]], blocks: Blocks | ItemIndex
                 continue
             at, items = index.candidates(h, starts)
             doc = np.searchsorted(first, at, side="right") - 1
-            last, text, text_pairs = -1, h[:0], h[:0]
+            last, text, runs = -1, h[:0], [h[:0]] * 2
             for d, i in zip(*(x.tolist() for x in np.divmod(np.unique(doc * (1 << 32) + items), 1 << 32))):
                 item, enough = index.hashed(i), needed(len(index.own[i]), search)
                 if d != last:
                     last, text = d, h[first[d] : ends[d]]
-                    text_pairs = np.sort(_runs(text, 2))
-                if may_be_case(index.pairs_of(i), text_pairs, search, enough) and words_in_passages(item, text, search, enough) >= enough:
+                    runs = [np.sort(_runs(text, k)) for k in (2, 3)]
+                if all(may_be_case(index.runs_of(i, k), runs[k - 2], k, search, enough) for k in (2, 3)) and words_in_passages(item, text, search, enough) >= enough:
                     yield keys[d], i
         keys.clear(), flat.clear(), first.clear()
 
