@@ -53,6 +53,20 @@ def _renamed(df: DataFrame, name: str) -> DataFrame:
 # -- merge, crop, edit -----------------------------------------------------------------------------
 
 
+#: Tags a dictionary may hold: its length is a 16-bit number in the file.
+MOST_TAGS = 65_535
+
+
+def ranked_tags(features: DataFrame) -> dict[str, list[str]]:
+    """poi_tags and way_tags for a file, most frequent first; too many of them are an error."""
+    ranked = tagging.ranked_dictionary(features).where(F.col("tag_id") <= MOST_TAGS).orderBy("kind", "tag_id").select("kind", "tag").collect()
+    tags = {f"{k}_tags": [r.tag for r in ranked if r.kind == k] for k in ("poi", "way")}
+    for name, listed in tags.items():
+        if len(listed) > MOST_TAGS:
+            raise ValueError(f"{name}: a file holds at most {MOST_TAGS} different tags")
+    return tags
+
+
 def merge(spark: SparkSession, inputs: Sequence[str], out: str, tile: tuple[int, int, int] | None = None, force: bool = False) -> dict:
     """All features of all inputs in one file, under a dictionary ranked by use.
 
@@ -85,8 +99,7 @@ def merge(spark: SparkSession, inputs: Sequence[str], out: str, tile: tuple[int,
     boxed = [h for p, h in zip(inputs, heads) if ids[p] in with_data] or heads
     header = {**first, "creation_date": _now()}
     header |= {k: min(h[k] for h in boxed) for k in ("min_lat", "min_lon")} | {k: max(h[k] for h in boxed) for k in ("max_lat", "max_lon")}
-    ranked = tagging.ranked_dictionary(features).orderBy("kind", "tag_id").select("kind", "tag").collect()  # at most 65,535 per kind by the format
-    header |= {f"{k}_tags": [r.tag for r in ranked if r.kind == k] for k in ("poi", "way")}
+    header |= ranked_tags(features)
     bodies = encode_tiles(features, header)
     water = merging.merged_water(index)
     tiles = water.join(bodies, ["si", "x", "y"], "full_outer").select("si", "x", "y", "is_water", "bytes")

@@ -147,3 +147,72 @@ def test_hash_ignores_order(spark, tmp_path):
     tiles = encode_tiles(f, {**h, **tags}).join(read_part(spark, str(tmp_path / "x.map"), "tile_index").select("si", "x", "y", "is_water"), ["si", "x", "y"], "full_outer")
     write_map_file({**h, **tags}, tiles, str(tmp_path / "y.map"))
     assert verbs.semantic_hash(spark, str(tmp_path / "x.map")) == verbs.semantic_hash(spark, str(tmp_path / "y.map"))
+
+
+def test_tag_report_lists_every_tag(spark, maps, tmp_path):
+    h = fx.header(poi_tags=[f"amenity=t{i:04}" for i in range(1300)])
+    (tmp_path / "many.map").write_bytes(fx.build(h, {}))
+    lines = list(verbs.tag_report(spark, [str(tmp_path / "many.map"), str(maps / "a.map")]))
+    assert sum(x.startswith("amenity=t") for x in lines) == 1300
+    heading = next(x for x in lines if x.startswith("tag\t"))
+    assert lines.count(heading) >= 1302 // 20 and lines[0] == "# poi" and "# way" in lines
+    assert all(len(x.split("\t")) == len(heading.split("\t")) for x in lines if not x.startswith("#"))
+    stats = {(r.kind, r.tag): r for r in verbs.tags(spark, [str(tmp_path / "many.map"), str(maps / "a.map")]).collect()}
+    row = dict(zip(heading.split("\t"), next(x for x in lines if x.startswith("road=x\t")).split("\t")))
+    n = stats["way", "road=x"]["count"]
+    assert int(row["count"]) == n - n % 10 ** (len(str(n)) - 1)
+
+
+def test_merge_falls_back_to_the_interval_that_contains_a_zoom(spark, maps, tmp_path):
+    """The second map has one interval for all levels: its tiles of the same coordinates take part."""
+    from gridloom.codec.header import grid_of
+    from gridloom.codec.tile import write_tile
+
+    one = fx.header(zoom_intervals=[{"si": 0, "base": 12, "min": 0, "max": 16, "pos": 0, "size": 0}])
+    x, y = grid_of(one, one["zoom_intervals"][0])[:2]
+    rng = random.Random(3)
+    rows = [[fx.poi(rng)] if z in (9, 15) else [] for z in range(17)]
+    (tmp_path / "one.map").write_bytes(fx.build(one, {(0, x, y): write_tile(rows, [[] for _ in rows], x, y)}))
+    (tmp_path / "empty.map").write_bytes(fx.build(fx.header(), {}))
+    out = str(tmp_path / "out.map")
+    verbs.merge(spark, [str(tmp_path / "empty.map"), str(tmp_path / "one.map")], out)
+    got = [(r.si, r.x, r.y, r.zoom) for r in read_part(spark, out, "feature").collect()]
+    assert got == [(1, x, y, 9)]  # level 15 is another interval's, whose grid lacks these coordinates
+
+
+def test_too_many_tags_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(verbs, "MOST_TAGS", 2)
+    df = spark.createDataFrame([("poi", ["a", "b"]), ("way", ["a", "b", "c"])], "kind string, tags array<string>")
+    with pytest.raises(ValueError, match="way_tags"):
+        verbs.ranked_tags(df)
+    assert verbs.ranked_tags(df.where("kind = 'poi'")) == {"poi_tags": ["a", "b"], "way_tags": []}
+
+
+def test_dump_tells_the_stored_way_offset(spark, maps):
+    from gridloom.codec.tile import stored_way_offset
+
+    p = str(maps / "a.map")
+    zooms = {z["si"]: z["max"] - z["min"] + 1 for z in load_header(p)["zoom_intervals"]}
+    want = {f'"{r.si}/{r.x}/{r.y}"': stored_way_offset(r.bytes, zooms[r.si]) if r.bytes else 0 for r in read_part(spark, p, "tile_raw").collect()}
+    got, tile = {}, None
+    for line in verbs.dump(spark, p, all=True):
+        if line.startswith('id = "'):
+            tile = line[5:]
+        elif line.startswith("first_way_offset = "):
+            got[tile] = int(line[19:])
+    assert got == want and any(want.values())
+
+
+def test_a_broken_fold_shows(spark, monkeypatch):
+    """The apply queries are no identity: without its patches a tile stays what it was."""
+    from gridloom.plans import codec_queries as C
+
+    tile = lambda v, n: {"version": v, "is_water": False, "pois": [{"zi_index": 0, "lat": i, "lon": v, "layer": 0, "tags": ["t"], "feat_name": None, "house_number": None, "elevation": None} for i in range(n)], "ways": None}
+    row = ("m", 0, 5, 5, [1, 2, 4], [tile(1, 2), tile(2, 3), tile(4, 5)])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([dict(zip(("map_id", "si", "x", "y", "versions", "log"), row))])
+    fold = lambda: [(r["zoom"], r["n"], r["places"]) for b in C._apply_log(iter([batch])) for r in b.to_pylist()]
+    assert fold() == [(0, 5, 10 + 20)]
+    monkeypatch.setattr(verbs, "decode", lambda patch, reference: reference)
+    assert fold() == [(0, 2, 1 + 2)]
