@@ -28,8 +28,10 @@ _LOW = "element_at(array(" + ", ".join(str(low) for _, low, _ in INTERVALS) + ")
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    root = ensure_checkpoint_dir(spark)
-    folder = os.path.join(root.removeprefix("file:").replace("//", "/"), f"files-{uuid.uuid4().hex}")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    if not root.startswith("/"):
+        raise ValueError("map files need a shared folder that is mounted as a path")
+    folder = os.path.join("/" + root.lstrip("/"), f"files-{uuid.uuid4().hex}")
     os.makedirs(folder)
     return folder
 
