@@ -332,8 +332,15 @@ def map_dictionary(spark, d):
 _TAG_MAP = "select d.map_id, d.kind, d.tag_id::bigint old_id, d.tag, n.new_id::bigint new_id from d left join (select map_id, kind, tag, max(tag_id) new_id from dc group by all) n on d.map_id = n.map_id and d.kind = n.kind and d.tag = n.tag"
 
 
+_VERSIONS = {"base": "map_header", "copy": "map_header_copy"}
+
+
 def _dictionaries(spark, d):
-    return tuple(TG.dictionary(R.headers(spark, d, t)) for t in ("map_header", "map_header_copy"))
+    return tuple(TG.dictionary(R.headers(spark, d, t)) for t in _VERSIONS.values())
+
+
+def _tag_versions(spark, d):
+    return TG.dictionary_versions({v: R.headers(spark, d, t) for v, t in _VERSIONS.items()})
 
 
 @query("tag_map_old_new", "d dc", _TAG_MAP)
@@ -350,9 +357,7 @@ def mapping_identity(spark, d):
  select v.ver from_ver, w.ver to_ver, v.map_id, v.kind, v.tag_id::bigint old_id, v.tag, n.new_id::bigint new_id from v join (values ('base'), ('copy')) w(ver) on true
  left join n on n.ver = w.ver and v.map_id = n.map_id and v.kind = n.kind and v.tag = n.tag""")
 def cross_version_tag_map(spark, d):
-    versions = dict(zip(("base", "copy"), _dictionaries(spark, d)))
-    parts = [TG.tag_map(a, b).select(F.lit(x).alias("from_ver"), F.lit(y).alias("to_ver"), "map_id", "kind", "old_id", "tag", "new_id") for x, a in versions.items() for y, b in versions.items()]
-    return merging.union_features(*parts)
+    return TG.cross_version_map(_tag_versions(spark, d), _VERSIONS).select("from_ver", "to_ver", "map_id", "kind", "old_id", "tag", "new_id")
 
 
 @query("tag_diff_encode", "d dc", """select dc.map_id, dc.kind, dc.tag_id::bigint tag_id, coalesce(o.old_id + 1, 0)::bigint ref, case when o.old_id is null then dc.tag end literal
