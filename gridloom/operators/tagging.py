@@ -78,10 +78,9 @@ def unique_dictionary(d: DataFrame) -> DataFrame:
     return d.groupBy("map_id", "kind", "tag").agg(F.max("tag_id").alias("tag_id"))
 
 
-def tag_map(old: DataFrame, new: DataFrame) -> DataFrame:
+def tag_map(versions: DataFrame, old: str, new: str) -> DataFrame:
     """Old id to new id by tag string; null where the new dictionary lacks the tag."""
-    n = unique_dictionary(new).select("map_id", "kind", "tag", F.col("tag_id").alias("new_id"))
-    return old.select("map_id", "kind", F.col("tag_id").alias("old_id"), "tag").join(n, ["map_id", "kind", "tag"], "left")
+    return versions.where(F.col("ver") == old).select("map_id", "kind", F.col("tag_id").alias("old_id"), "tag", F.col(f"{new}_id").alias("new_id"))
 
 
 def tag_map_facts(mapped: DataFrame) -> DataFrame:

@@ -345,7 +345,7 @@ def _tag_versions(spark, d):
 
 @query("tag_map_old_new", "d dc", _TAG_MAP)
 def tag_map_old_new(spark, d):
-    return TG.tag_map(*_dictionaries(spark, d))
+    return TG.tag_map(_tag_versions(spark, d), *_VERSIONS)
 
 
 @query("mapping_identity", "d dc", f"select map_id, kind, bool_and(new_id is not distinct from old_id) is_identity, bool_or(new_id is null) loses_tags from ({_TAG_MAP}) group by map_id, kind")

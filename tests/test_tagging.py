@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
@@ -39,3 +39,8 @@ def test_cross_version_map(spark):
     got = tagging.cross_version_map(tagging.dictionary_versions(headers(spark)), ["old", "new"]).select("from_ver", "to_ver", "map_id", "kind", "old_id", "tag", "new_id")
     sides = {"old": OLD, "new": NEW}
     same(got, [(a, b, m, k, i, t, last(sides[b], m, k, t)) for a in sides for b in sides for m, k, i, t in listed(sides[a])])
+
+
+def test_map_facts(spark):
+    got = tagging.tag_map_facts(tagging.tag_map(tagging.dictionary_versions(headers(spark)), "old", "new"))
+    same(got, [("a", "poi", False, True), ("b", "way", False, True), (None, "poi", False, True), (None, "way", False, True), ("same", "poi", True, False), ("same", "way", True, False)])
