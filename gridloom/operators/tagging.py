@@ -90,11 +90,11 @@ def tag_map_facts(mapped: DataFrame) -> DataFrame:
     )
 
 
-def tag_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def tag_diff(versions: DataFrame, old: str, new: str) -> DataFrame:
     """The new dictionary as references: ref = old id + 1, or 0 with the tag as literal."""
-    o = unique_dictionary(old).select("map_id", "kind", "tag", F.col("tag_id").alias("__old"))
-    ref = F.coalesce(F.col("__old") + 1, F.lit(0)).cast("bigint")
-    return new.join(o, ["map_id", "kind", "tag"], "left").select("map_id", "kind", "tag_id", ref.alias("ref"), F.when(F.col("__old").isNull(), F.col("tag")).alias("literal"))
+    o = F.col(f"{old}_id")
+    ref = F.coalesce(o + 1, F.lit(0)).cast("bigint")
+    return versions.where(F.col("ver") == new).select("map_id", "kind", "tag_id", ref.alias("ref"), F.when(o.isNull(), F.col("tag")).alias("literal"))
 
 
 def tag_diff_decoded(diff: DataFrame, old: DataFrame) -> DataFrame:

@@ -363,13 +363,12 @@ def cross_version_tag_map(spark, d):
 @query("tag_diff_encode", "d dc", """select dc.map_id, dc.kind, dc.tag_id::bigint tag_id, coalesce(o.old_id + 1, 0)::bigint ref, case when o.old_id is null then dc.tag end literal
  from dc left join (select map_id, kind, tag, max(tag_id) old_id from d group by all) o on dc.map_id = o.map_id and dc.kind = o.kind and dc.tag = o.tag""")
 def tag_diff_encode(spark, d):
-    return TG.tag_diff(*_dictionaries(spark, d))
+    return TG.tag_diff(_tag_versions(spark, d), *_VERSIONS)
 
 
 @query("tag_diff_decode", "dc", "select map_id, kind, tag_id::bigint tag_id, tag from dc")
 def tag_diff_decode(spark, d):
-    old, new = _dictionaries(spark, d)
-    return TG.tag_diff_decoded(TG.tag_diff(old, new), old)
+    return TG.tag_diff_decoded(tag_diff_encode(spark, d), _dictionaries(spark, d)[0])
 
 
 def _split(spark, d):

@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
@@ -44,3 +44,8 @@ def test_cross_version_map(spark):
 def test_map_facts(spark):
     got = tagging.tag_map_facts(tagging.tag_map(tagging.dictionary_versions(headers(spark)), "old", "new"))
     same(got, [("a", "poi", False, True), ("b", "way", False, True), (None, "poi", False, True), (None, "way", False, True), ("same", "poi", True, False), ("same", "way", True, False)])
+
+
+def test_tag_diff(spark):
+    ref = lambda m, k, t: (last(OLD, m, k, t) + 1, None) if last(OLD, m, k, t) is not None else (0, t)
+    same(tagging.tag_diff(tagging.dictionary_versions(headers(spark)), "old", "new"), [(m, k, i, *ref(m, k, t)) for m, k, i, t in listed(NEW)])
