@@ -103,16 +103,17 @@ def tag_diff_decoded(diff: DataFrame, old: DataFrame) -> DataFrame:
     return diff.join(o, ["map_id", "kind", "ref"], "left").select("map_id", "kind", "tag_id", F.coalesce("literal", "__tag").alias("tag"))
 
 
-def split_by_dictionary(features: DataFrame, own: DataFrame, allowed: DataFrame, by: Sequence[str] = ("map_id",)) -> DataFrame:
-    """Adds ``mapped``: every tag of the feature is in ``allowed``. Features with no tags are mapped.
+def split_by_dictionary(features: DataFrame, versions: DataFrame, own: str, allowed: str) -> DataFrame:
+    """Adds ``mapped``: every tag of the feature is in the dictionary ``allowed``. Features with no tags are mapped.
 
-    ``own`` is the dictionary the features' tags come from (both: by, kind, tag). What it has and
-    ``allowed`` lacks is found dictionary against dictionary, so a feature meets only the lost tags.
+    ``own`` is the version the features' tags come from. What it has and ``allowed`` lacks is found
+    dictionary against dictionary, so a feature meets only the lost tags; these are as many as the
+    dictionaries have where a map is missing, and are not broadcast.
     """
-    keys = [*by, "kind"]
-    lost = own.where("tag is not null").select(*keys, "tag").distinct().join(allowed.select(*keys, "tag"), [*keys, "tag"], "left_anti")
-    sets = lost.groupBy(*keys).agg(F.collect_list("tag").alias("__lost"))
-    j = features.join(sets, keys, "left")
+    keys = ["map_id", "kind"]
+    lost = versions.where((F.col("ver") == own) & F.col("tag").isNotNull() & F.col(f"{allowed}_id").isNull())
+    sets = lost.groupBy(*keys).agg(F.collect_set("tag").alias("__lost"))
+    j = features.join(sets.hint("merge"), keys, "left")
     return j.withColumn("mapped", ~F.coalesce(F.arrays_overlap("tags", "__lost"), F.lit(False))).drop("__lost")
 
 

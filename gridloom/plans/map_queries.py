@@ -372,7 +372,7 @@ def tag_diff_decode(spark, d):
 
 
 def _split(spark, d):
-    return TG.split_by_dictionary(R.features(spark, d), *_dictionaries(spark, d))
+    return TG.split_by_dictionary(R.features(spark, d, merge=True), _tag_versions(spark, d), *_VERSIONS)
 
 
 _ALLOWED = ", al as (select map_id, kind, list(distinct tag) tags from dc where tag is not null group by map_id, kind), s as (select f.*, len(list_filter(coalesce(f.tags, []), lambda t: not list_contains(coalesce(al.tags, []), t))) = 0 mapped from f left join al on f.map_id = al.map_id and f.kind = al.kind)\n"

@@ -33,11 +33,15 @@ def headers(spark: SparkSession, sf_dir: str, name: str = "map_header") -> DataF
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current poi and way rows, with tag strings as written in the map's dictionary and absolute zoom."""
+def features(spark: SparkSession, sf_dir: str, merge: bool = False) -> DataFrame:
+    """Current poi and way rows, with tag strings as written in the map's dictionary and absolute zoom.
+
+    ``merge``: dictionaries are sorted and merged, never broadcast, whatever Spark takes their size for.
+    """
     h = headers(spark, sf_dir)
     both = F.array(*(F.struct(F.lit(k).alias("__kind"), F.col(f"{k}_tags").alias("__dict")) for k in ("poi", "way")))
     dicts = h.select(F.col("map_id").alias("__map"), F.col("zoom_intervals").alias("__zi"), F.inline(both))
+    dicts = dicts.hint("merge") if merge else dicts
     common = [*FEATURE_KEY, "layer", "tags", "feat_name", "house_number", "loaded_at"]
     own = {"poi": ["lat_diff", "lon_diff", "elevation"], "way": ["sub_tile_bitmap", "reference", "label_lat", "label_lon", "double_delta", "blocks"]}
     parts = [table(spark, sf_dir, k).select(F.lit(k).alias("kind"), *common, *own[k]) for k in own]

@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
@@ -49,3 +49,11 @@ def test_map_facts(spark):
 def test_tag_diff(spark):
     ref = lambda m, k, t: (last(OLD, m, k, t) + 1, None) if last(OLD, m, k, t) is not None else (0, t)
     same(tagging.tag_diff(tagging.dictionary_versions(headers(spark)), "old", "new"), [(m, k, i, *ref(m, k, t)) for m, k, i, t in listed(NEW)])
+
+
+def test_split_by_dictionary(spark):
+    tags = [[], ["x"], ["y", "x"], ["only"], ["p", "r"]]
+    rows = [(m, k, n, t) for m in ("a", "b", "c", "same", None) for k in ("poi", "way") for n, t in enumerate(tags)]
+    lost = {(m, k, t) for m, k, _, t in listed(OLD) if t is not None and last(NEW, m, k, t) is None}
+    got = tagging.split_by_dictionary(spark.createDataFrame(rows, "map_id string, kind string, n int, tags array<string>"), tagging.dictionary_versions(headers(spark)), "old", "new")
+    same(got.select("map_id", "kind", "n", "mapped"), [(m, k, n, m is None or not any((m, k, t) in lost for t in ts)) for m, k, n, ts in rows])
