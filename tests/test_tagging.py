@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased", "drop_unmapped_features"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
