@@ -73,11 +73,6 @@ def cross_version_map(versions: DataFrame, names: Sequence[str]) -> DataFrame:
     return versions.select(F.col("ver").alias("from_ver"), "map_id", "kind", F.col("tag_id").alias("old_id"), "tag", F.inline(to))
 
 
-def unique_dictionary(d: DataFrame) -> DataFrame:
-    """One id per tag string: the last one listed."""
-    return d.groupBy("map_id", "kind", "tag").agg(F.max("tag_id").alias("tag_id"))
-
-
 def tag_map(versions: DataFrame, old: str, new: str) -> DataFrame:
     """Old id to new id by tag string; null where the new dictionary lacks the tag."""
     return versions.where(F.col("ver") == old).select("map_id", "kind", F.col("tag_id").alias("old_id"), "tag", F.col(f"{new}_id").alias("new_id"))
@@ -98,9 +93,11 @@ def tag_diff(versions: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def tag_diff_decoded(diff: DataFrame, old: DataFrame) -> DataFrame:
-    """The dictionary a tag diff stands for, given the one before."""
-    o = old.select("map_id", "kind", (F.col("tag_id") + 1).alias("ref"), F.col("tag").alias("__tag"))
-    return diff.join(o, ["map_id", "kind", "ref"], "left").select("map_id", "kind", "tag_id", F.coalesce("literal", "__tag").alias("tag"))
+    """The dictionary a tag diff stands for, given the headers before, whose tags stay arrays and are not broadcast either."""
+    o = old.select("map_id", "poi_tags", "way_tags").hint("merge")
+    listed = F.when(F.col("kind") == "poi", F.col("poi_tags")).otherwise(F.col("way_tags"))
+    tag = F.coalesce("literal", F.get(listed, (F.col("ref") - 1).cast("int")))
+    return diff.join(o, "map_id", "left").select("map_id", "kind", "tag_id", tag.alias("tag"))
 
 
 def split_by_dictionary(features: DataFrame, versions: DataFrame, own: str, allowed: str) -> DataFrame:

@@ -335,10 +335,6 @@ _TAG_MAP = "select d.map_id, d.kind, d.tag_id::bigint old_id, d.tag, n.new_id::b
 _VERSIONS = {"base": "map_header", "copy": "map_header_copy"}
 
 
-def _dictionaries(spark, d):
-    return tuple(TG.dictionary(R.headers(spark, d, t)) for t in _VERSIONS.values())
-
-
 def _tag_versions(spark, d):
     return TG.dictionary_versions({v: R.headers(spark, d, t) for v, t in _VERSIONS.items()})
 
@@ -368,7 +364,7 @@ def tag_diff_encode(spark, d):
 
 @query("tag_diff_decode", "dc", "select map_id, kind, tag_id::bigint tag_id, tag from dc")
 def tag_diff_decode(spark, d):
-    return TG.tag_diff_decoded(tag_diff_encode(spark, d), _dictionaries(spark, d)[0])
+    return TG.tag_diff_decoded(tag_diff_encode(spark, d), R.headers(spark, d))
 
 
 def _split(spark, d):

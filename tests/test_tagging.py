@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased", "drop_unmapped_features"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased", "drop_unmapped_features", "tag_diff_decode"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
@@ -57,3 +57,8 @@ def test_split_by_dictionary(spark):
     lost = {(m, k, t) for m, k, _, t in listed(OLD) if t is not None and last(NEW, m, k, t) is None}
     got = tagging.split_by_dictionary(spark.createDataFrame(rows, "map_id string, kind string, n int, tags array<string>"), tagging.dictionary_versions(headers(spark)), "old", "new")
     same(got.select("map_id", "kind", "n", "mapped"), [(m, k, n, m is None or not any((m, k, t) in lost for t in ts)) for m, k, n, ts in rows])
+
+
+def test_tag_diff_is_decoded(spark):
+    h = headers(spark)
+    same(tagging.tag_diff_decoded(tagging.tag_diff(tagging.dictionary_versions(h), "old", "new"), h["old"]), listed(NEW))
