@@ -28,7 +28,7 @@ def same(df, want):
 
 
 #: Whatever Spark takes their size for: dictionaries unfold to many times the bytes of their files.
-@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased", "drop_unmapped_features", "tag_diff_decode"])
+@pytest.mark.parametrize("name", ["cross_version_tag_map", "mapping_identity", "tag_diff_encode", "tile_zoom_erased", "drop_unmapped_features", "tag_diff_decode", "tag_map_old_new"])
 def test_dictionaries_are_not_broadcast(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
@@ -62,3 +62,8 @@ def test_split_by_dictionary(spark):
 def test_tag_diff_is_decoded(spark):
     h = headers(spark)
     same(tagging.tag_diff_decoded(tagging.tag_diff(tagging.dictionary_versions(h), "old", "new"), h["old"]), listed(NEW))
+
+
+def test_tag_map(spark):
+    got = tagging.tag_map(tagging.dictionary_versions(headers(spark)), "old", "new")
+    same(got, [(m, k, i, t, last(NEW, m, k, t)) for m, k, i, t in listed(OLD)])
